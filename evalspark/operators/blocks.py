@@ -88,7 +88,7 @@ def _flat(vectors: pa.ListArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     )
 
 
-def _queries(qids, vectors: pa.ListArray) -> DenseQueries | SparseQueries:
+def query_block(qids, vectors: pa.ListArray) -> DenseQueries | SparseQueries:
     sparse = pa.types.is_struct(vectors.type.value_type)
     return (SparseQueries if sparse else DenseQueries)(qids, vectors)
 
@@ -157,7 +157,7 @@ def topk(
     if few[0] <= BROADCAST_QUERIES and (few[1] or 0) <= BROADCAST_NUMBERS:
         found = _scan(corpus, queries, ids, k, exclude_self)
     else:
-        found = _grid(corpus, queries, ids, k, exclude_self)
+        found = grid(corpus, queries, ids, k, exclude_self)
     return rank(found, ids, k)
 
 
@@ -181,7 +181,7 @@ def _scan(corpus, queries, ids, k, exclude_self) -> DataFrame:
     by_cell = {}
     for cell in pc.unique(table["cell"]).to_pylist():
         part = table.filter(pc.equal(table["cell"], cell)).sort_by("qid")
-        by_cell[cell] = _queries(part["qid"].to_numpy(), _one(part["vector"]))
+        by_cell[cell] = query_block(part["qid"].to_numpy(), one(part["vector"]))
     shared = corpus.sparkSession.sparkContext.broadcast(by_cell)
     schema = _schema(corpus, ids)
 
@@ -208,12 +208,12 @@ def _scan(corpus, queries, ids, k, exclude_self) -> DataFrame:
     return corpus.select("cell", *ids, "vector").mapInArrow(scan, schema)
 
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
+def one(column: pa.ChunkedArray) -> pa.Array:
     column = column.combine_chunks()
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _grid(corpus, queries, ids, k, exclude_self) -> DataFrame:
+def grid(corpus, queries, ids, k, exclude_self) -> DataFrame:
     """Blocks of a cell's rows meet blocks of its queries, each pair in one group.
 
     A hot cell is cut into as many blocks as its size asks for, so every group is
@@ -246,8 +246,8 @@ def _grid(corpus, queries, ids, k, exclude_self) -> DataFrame:
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         types = {f.name: f.type for f in rows.schema}
         if len(rows) and len(asked):
-            best = Best(_queries(asked["qid"].to_numpy(), _one(asked["vector"])), k, len(ids), exclude_self)
-            best.add(_one(rows["vector"]), [rows[name].to_numpy().astype(np.int64) for name in ids])
+            best = Best(query_block(asked["qid"].to_numpy(), one(asked["vector"])), k, len(ids), exclude_self)
+            best.add(one(rows["vector"]), [rows[name].to_numpy().astype(np.int64) for name in ids])
             qid, *keys, sim = best.columns()
             cells = pa.array([rows["cell"][0].as_py()] * len(qid), types["cell"])
             keys = [pa.array(c).cast(types[name]) for c, name in zip(keys, ids)]
