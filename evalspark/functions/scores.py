@@ -30,3 +30,11 @@ def bar(mean: Column) -> Column:
 
 def metric_label(metric: Column) -> Column:
     return F.initcap(F.replace(metric, F.lit("_"), F.lit(" ")))
+
+
+def fixed(number: Column, digits: int) -> Column:
+    """Text with ``digits`` decimals, rounded from the exact binary value as ``%.3f`` is.
+
+    ``format_string`` rounds the shortest decimal form instead: 0.2875 would be 0.288.
+    """
+    return F.call_function("format_number", number, F.lit("0." + "0" * digits))

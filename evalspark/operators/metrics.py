@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from evalspark.functions.scores import bar, band, numeric
+from evalspark.functions.scores import band, bar, fixed, numeric
 from evalspark.functions.text import claims, token_set, token_share, tokens
 from evalspark.operators.answering import CONTEXT_BREAK, QUESTION
 from evalspark.operators.textsearch import text_vectors
@@ -196,7 +196,7 @@ def score_long(
     out = scored[0]
     for more in scored[1:]:
         out = out.unionByName(more)
-    return out.withColumn("score", F.round("score", 6))
+    return out
 
 
 def score_wide(records: DataFrame, scores: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -215,7 +215,7 @@ def aggregate_scores(wide: DataFrame, keys: Sequence[str] = ("experiment",)) ->
     values = wide.select(*keys, *[numeric(F.col(c)).alias(c) for c in columns])
     makers = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     statistics = [
-        F.round(make(c), 6).alias(f"{c}_{name}") for c in columns for name, make in makers.items()
+        make(c).alias(f"{c}_{name}") for c in columns for name, make in makers.items()
     ]
     return values.groupBy(*keys).agg(*statistics)
 
@@ -246,7 +246,9 @@ def score_report(statistics: DataFrame, keys: Sequence[str] = ("experiment",)) -
         *keys,
         "metric",
         bar(F.coalesce("mean", F.lit(0.0))).alias("bar"),
-        F.format_string("%.4f ± %.4f", F.coalesce("mean", F.lit(0.0)), F.coalesce("std", F.lit(0.0))).alias("summary"),
+        F.concat(
+            fixed(F.coalesce("mean", F.lit(0.0)), 4), F.lit(" ± "), fixed(F.coalesce("std", F.lit(0.0)), 4)
+        ).alias("summary"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.functions.scores import metric_label
+from evalspark.functions.scores import fixed, metric_label
 from evalspark.operators import metrics
 from evalspark.operators.answering import QUESTION
 from evalspark.plans.rag import answer_all, retrieve, score, with_text
@@ -135,7 +135,7 @@ def param_series(summary: DataFrame) -> DataFrame:
         "metric",
         F.coalesce("mean", F.lit(0.0)).alias("mean"),
         F.coalesce("std", F.lit(0.0)).alias("std"),
-        F.format_string("%.3f", F.coalesce("mean", F.lit(0.0))).alias("mean_label"),
+        fixed(F.coalesce("mean", F.lit(0.0)), 3).alias("mean_label"),
     )
 
 
