@@ -20,7 +20,7 @@ from evalspark.functions.vectors import as_double, normalize  # noqa: E402
 from evalspark.operators import answering, cache, chunking, densesearch, metrics  # noqa: E402
 from evalspark.operators.mmr import mmr as mmr_pick  # noqa: E402
 from evalspark.plans import rag, sweeps  # noqa: E402
-from evalspark.session import spread, stage  # noqa: E402
+from evalspark.session import shared_dir, spread, stage  # noqa: E402
 from evalspark.settings import Settings  # noqa: E402
 from evalspark.sources import evalset, files  # noqa: E402
 from evalspark.sources.tables import Index, load_or_build_index  # noqa: E402
@@ -59,8 +59,13 @@ def windows(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_windows(documents(spark, folder))
 
 
+def index_root(spark: SparkSession) -> str:
+    """An index is shared by the queries of one session, and built anew in the next."""
+    return f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}"
+
+
 def index(spark: SparkSession, folder: str) -> Index:
-    return load_or_build_index(documents(spark, folder), [(chunking.BASE, SETTINGS)])
+    return load_or_build_index(documents(spark, folder), [(chunking.BASE, SETTINGS)], index_root(spark))
 
 
 def hits(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
@@ -72,13 +77,15 @@ def hits_with_text(spark: SparkSession, folder: str) -> DataFrame:
     return rag.with_text(rag.retrieve(items(spark, folder), found, SETTINGS), found)
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    return rag.answer_all(items(spark, folder), hits_with_text(spark, folder), [chunking.BASE], SETTINGS)
+def records(spark: SparkSession, folder: str, found: Index | None = None) -> DataFrame:
+    found = found or index(spark, folder)
+    texts = rag.with_text(rag.retrieve(items(spark, folder), found, SETTINGS), found)
+    return rag.answer_all(items(spark, folder), texts, [chunking.BASE], SETTINGS)
 
 
 def scored(spark: SparkSession, folder: str, names: tuple[str, ...]) -> DataFrame:
-    settings = SETTINGS.variant({"eval.metrics": names})
-    return rag.score(records(spark, folder), index(spark, folder), settings)
+    found = index(spark, folder)
+    return rag.score(records(spark, folder, found), found, SETTINGS.variant({"eval.metrics": names}))
 
 
 def all_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,13 +141,13 @@ def q_html_strip(spark, folder):
 
 def q_drop_empty_docs(spark, folder):
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    text = F.when(F.col("quality") == 0, "\n \t ").otherwise(F.col("text"))
+    blank = F.when(F.col("quality") == 0, "\n \t\u2003").otherwise(F.col("text"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return (
-        table(spark, folder, "documents")
-        .join(labels, "doc_id", "left")
-        .select("doc_id", tx.clean_text(text).alias("text"))
-        .filter(F.col("text") != "")
-        .select("doc_id", F.char_length("text").alias("char_count"))
+        docs.join(labels, "doc_id", "left")
+        .select("doc_id", blank.alias("text"))
+        .filter(tx.has_text(F.col("text")))
+        .select("doc_id", F.char_length(tx.clean_text(F.col("text"))).alias("char_count"))
     )
 
 
@@ -180,24 +187,18 @@ def q_chunk_overlap_check(spark, folder):
 def q_recursive_chunk_invariants(spark, folder):
     """Sizes, origin and order of recursive chunks, and that no word is lost."""
     docs = documents(spark, folder)
-    chunks = chunking.chunk_recursive(docs.withColumn("whole", F.col("text")))
-    words = F.array_remove(F.array_distinct(F.split("chunk_text", r"[\s.]+")), "")
-    short = F.when(F.char_length("word") < SETTINGS.chunk_size, F.col("word"))
-    return (
-        chunks.select(
-            "doc_id",
-            "pos",
-            F.char_length("chunk_text").between(1, SETTINGS.chunk_size).alias("sized"),
-            F.contains("whole", "chunk_text").alias("inside"),
-            F.posexplode_outer(words).alias("at", "word"),
-        )
-        .groupBy("doc_id")
-        .agg(
-            F.min("sized").alias("sized"),
-            F.min("inside").alias("inside"),
-            (F.count_if(F.coalesce("at", F.lit(0)) == 0) == F.max("pos") + 1).alias("ordered"),
-            F.count_distinct(short).alias("short_words"),
-        )
+    # The chunks of a document are as long as it is and fit a row as it does.
+    cut = chunking.chunk_recursive(docs).groupBy("doc_id").agg(
+        F.collect_list("chunk_text").alias("chunks"), F.max("pos").alias("last"), F.count_distinct("pos").alias("n")
+    )
+    words = F.flatten(F.transform("chunks", lambda c: F.array_distinct(F.split(c, r"[\s.]+"))))
+    size = SETTINGS.chunk_size
+    return docs.join(cut, "doc_id").select(
+        "doc_id",
+        F.forall("chunks", lambda c: F.char_length(c).between(1, size)).alias("sized"),
+        F.forall("chunks", lambda c: F.contains("text", c)).alias("inside"),
+        ((F.size("chunks") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("ordered"),
+        F.size(F.filter(F.array_distinct(words), lambda w: F.char_length(w).between(1, size - 1))).alias("short_words"),
     )
 
 
@@ -342,7 +343,7 @@ def q_extractive_answer(spark, folder):
 
 
 def q_rag_end_to_end(spark, folder):
-    built = rag.Rag(SETTINGS).build(documents(spark, folder))
+    built = rag.Rag(SETTINGS).build(documents(spark, folder), index_root(spark))
     return built.batch_query(items(spark, folder)).select(
         "qid",
         "question",
@@ -406,12 +407,12 @@ def q_diagnosis(spark, folder):
 
 
 def size_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scores = sweeps.chunk_size_scores(documents(spark, folder), items(spark, folder), SETTINGS)
+    scores = sweeps.chunk_size_scores(documents(spark, folder), items(spark, folder), SETTINGS, root=index_root(spark))
     return sweeps.experiment_summary(stage(scores, spark), sweeps.chunk_size_variants())
 
 
 def k_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scores = sweeps.k_scores(documents(spark, folder), items(spark, folder), SETTINGS)
+    scores = sweeps.k_scores(documents(spark, folder), items(spark, folder), SETTINGS, root=index_root(spark))
     return sweeps.experiment_summary(stage(scores, spark), sweeps.k_variants())
 
 

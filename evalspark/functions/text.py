@@ -43,6 +43,11 @@ def clean_text(text: Column) -> Column:
     return strip(text)
 
 
+def has_text(text: Column) -> Column:
+    """Whether anything is left of a text after ``clean_text``, without cleaning it."""
+    return text.rlike(rf"[^\x00{WHITE_SPACE}]")
+
+
 def strip_html(text: Column) -> Column:
     return F.regexp_replace(text, r"<[^>]+>", "")
 

@@ -21,6 +21,11 @@ def length(vector: Column) -> Column:
 
 
 def normalize(vector: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
-    size = length(vector)
-    return F.when(size == 0, vector).otherwise(F.transform(vector, lambda x: x / size))
+    """Unit length; a zero vector stays zero.
+
+    The length is paired with the elements: inside a lambda it would be computed
+    anew for each of them.
+    """
+    size = F.nullif(length(vector), F.lit(0.0))
+    scaled = F.zip_with(vector, F.array_repeat(size, F.size(vector)), lambda x, s: x / s)
+    return F.when(F.exists(vector, lambda x: x != 0), scaled).otherwise(vector)

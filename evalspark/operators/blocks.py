@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from evalspark.session import stage
+
 DIGITS = 6
 # Queries that are sent to all tasks: at most this many, and this many numbers.
 BROADCAST_QUERIES = 4096
 BROADCAST_NUMBERS = 4_000_000
 # Average size of the blocks that meet when there are more queries.
-ROWS_PER_BLOCK = 8192
-QUERIES_PER_BLOCK = 1024
+ROWS_PER_BLOCK = 32_768
+QUERIES_PER_BLOCK = 4096
 # Scores that one numpy step holds.
 SCORES_PER_STEP = 2_000_000
 
@@ -36,10 +38,10 @@ class DenseQueries:
 
     def __init__(self, qids, vectors: pa.ListArray):
         self.qids = np.asarray(qids, dtype=np.int64)
-        self.matrix = _matrix(vectors)
+        self.matrix = matrix(vectors)
 
     def score(self, vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray | None]:
-        return self.matrix @ _matrix(vectors).T, None
+        return self.matrix @ matrix(vectors).T, None
 
 
 class SparseQueries:
@@ -73,7 +75,7 @@ class SparseQueries:
         return scores, scores > 0
 
 
-def _matrix(vectors: pa.ListArray) -> np.ndarray:
+def matrix(vectors: pa.ListArray) -> np.ndarray:
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(vectors), -1)
 
@@ -152,6 +154,7 @@ def topk(
     Queries within the bounds go to all tasks and the corpus is not shuffled.
     With more of them, blocks of queries meet blocks of the corpus.
     """
+    queries = stage(queries.select("cell", "qid", "vector"), queries.sparkSession)
     numbers = F.size("vector").alias("n")
     few = queries.select(numbers).limit(BROADCAST_QUERIES + 1).agg(F.count("n"), F.sum("n")).head()
     if few[0] <= BROADCAST_QUERIES and (few[1] or 0) <= BROADCAST_NUMBERS:
@@ -177,7 +180,7 @@ def _schema(corpus: DataFrame, ids: list[str]) -> T.StructType:
 
 
 def _scan(corpus, queries, ids, k, exclude_self) -> DataFrame:
-    table = queries.select("cell", "qid", "vector").toArrow().combine_chunks()
+    table = queries.toArrow().combine_chunks()
     by_cell = {}
     for cell in pc.unique(table["cell"]).to_pylist():
         part = table.filter(pc.equal(table["cell"], cell)).sort_by("qid")

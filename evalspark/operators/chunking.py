@@ -203,10 +203,21 @@ def overlap_with_next(chunks: DataFrame, overlap: int) -> DataFrame:
         (F.col("pos") - 1).alias("pos"),
         F.col("chunk_text").alias("next_text"),
     )
-    shared = F.filter(
-        F.sequence(F.lit(0), F.lit(overlap)),
-        lambda n: F.right("chunk_text", n) == F.left("next_text", n),
+    ends = chunks.join(following, ["experiment", "doc_id", "pos"]).select(
+        "experiment",
+        "doc_id",
+        "pos",
+        F.right("chunk_text", F.lit(overlap)).alias("tail"),
+        F.left("next_text", F.lit(overlap)).alias("head"),
+    )
+    # Most neighbours share all of it; only the others are tried length by length.
+    lengths = F.filter(
+        F.sequence(F.lit(0), F.lit(overlap)), lambda n: F.right("tail", n) == F.left("head", n)
     )
-    return chunks.join(following, ["experiment", "doc_id", "pos"]).select(
-        "experiment", "doc_id", "pos", F.array_max(shared).alias("shared_chars")
+    whole = (F.char_length("tail") == overlap) & (F.col("tail") == F.col("head"))
+    return ends.select(
+        "experiment",
+        "doc_id",
+        "pos",
+        F.when(whole, overlap).otherwise(F.array_max(lengths)).alias("shared_chars"),
     )

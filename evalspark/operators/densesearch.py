@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.vectors import as_double, normalize
 from evalspark.operators import blocks
+from evalspark.operators.blocks import matrix
+from evalspark.session import stage
 
 BACKENDS = ("scan", "cells")
 # Cells of the pivot index; pivots and their statistics are the only broadcast.
@@ -67,15 +69,19 @@ def _topk_cells(corpus, queries, k, key, exclude_self) -> DataFrame:
         return blocks.topk(corpus.withColumn("cell", F.lit("")), queries, [key], k, exclude_self)
     shared = spark.sparkContext.broadcast(pivots)
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                far = distances(np.stack(batch["vector"]), shared.value)
-                yield batch.assign(cell=far.argmin(axis=1), far=far.min(axis=1))
+            far = distances(matrix(batch["vector"]), shared.value)
+            yield batch.append_column("cell", pa.array(far.argmin(axis=1))).append_column(
+                "far", pa.array(far.min(axis=1))
+            )
 
     id_type = corpus.schema[key].dataType.simpleString()
-    placed = corpus.select(key, "vector").mapInPandas(
-        nearest, f"{key} {id_type}, vector array<double>, cell long, far double"
+    placed = stage(
+        corpus.select(key, "vector").mapInArrow(
+            nearest, f"{key} {id_type}, vector array<double>, cell long, far double"
+        ),
+        spark,
     )
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
     size, radius = np.zeros(len(pivots)), np.zeros(len(pivots))
@@ -92,22 +98,22 @@ def _topk_cells(corpus, queries, k, key, exclude_self) -> DataFrame:
         return visit & (size > 0)
 
     def visits(select):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if len(batch):
-                    visit = select(distances(np.stack(batch["vector"]), shared.value), batch)
-                    query, cell = visit.nonzero()
-                    yield batch[["qid", "vector"]].iloc[query].assign(cell=cell)
+                query, cell = select(distances(matrix(batch["vector"]), shared.value), batch).nonzero()
+                rows = batch.select(["qid", "vector"]).take(pa.array(query))
+                yield rows.append_column("cell", pa.array(cell))
 
         return run
 
-    def near_cells(far: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
-        limit = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (batch["floor"].to_numpy() - 1e-6)))
+    def near_cells(far: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        floor = batch["floor"].to_numpy(zero_copy_only=False)
+        limit = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (floor - 1e-6)))
         return (far - radius <= limit[:, None] + SLACK) & (size > 0)
 
     shape = "qid long, vector array<double>, cell long"
     queries = queries.select("qid", "vector")
-    first = queries.mapInPandas(visits(lambda far, _: first_cells(far)), shape)
+    first = stage(queries.mapInArrow(visits(lambda far, _: first_cells(far)), shape), spark)
     floors = (
         _best(blocks.grid(placed, first, [key], k, exclude_self), key, k)
         .groupBy("qid")
@@ -115,10 +121,11 @@ def _topk_cells(corpus, queries, k, key, exclude_self) -> DataFrame:
         # Fewer than k found: only a limit that leaves out nothing is safe.
         .select("qid", F.when(F.col("n") >= k, F.col("floor")).otherwise(-2.0).alias("floor"))
     )
-    second = (
+    second = stage(
         queries.join(floors, "qid", "left")
         .fillna(-2.0, ["floor"])
-        .mapInPandas(visits(near_cells), shape)
+        .mapInArrow(visits(near_cells), shape),
+        spark,
     )
     found = blocks.grid(placed, second, [key], k, exclude_self)
     return _best(found, key, k)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,9 @@ from pyspark.sql import Window as W
 
 from evalspark.functions.scores import band, bar, fixed, numeric
 from evalspark.functions.text import claims, token_set, token_share, tokens
+from evalspark.functions.vectors import dot
 from evalspark.operators.answering import CONTEXT_BREAK, QUESTION
-from evalspark.operators.textsearch import text_vectors
+from evalspark.operators.embedding import Embed
 from evalspark.settings import METRICS
 
 SUPPORT = 0.8
@@ -139,19 +141,20 @@ def context_precision(relevant: DataFrame) -> DataFrame:
     )
 
 
-def answer_relevancy(records: DataFrame, terms: DataFrame) -> DataFrame:
+def answer_relevancy(records: DataFrame, embed: Embed) -> DataFrame:
     """Mean cosine of the answer's claims, taken as questions, with the question."""
     candidates = claim_table(records.withColumn("contexts", F.lit(None)), ["answer"]).drop("contexts", "side")
-    asked = text_vectors(records.select(*QUESTION, "question"), ["qid"], "question", terms).select(
-        *QUESTION, F.inline("vector").alias("term", "asked_weight")
-    )
-    cosines = (
-        text_vectors(candidates, ["qid", "claim_no"], "claim", terms)
-        .select(*QUESTION, "claim_no", F.inline("vector").alias("term", "weight"))
-        .join(asked, [*QUESTION, "term"])
-        .groupBy(*QUESTION)
-        .agg(F.sum(F.col("weight") * F.col("asked_weight")).alias("total"))
-    )
+    asked = embed(records.select(*QUESTION, "question"), ["qid"], "question")
+    offered = embed(candidates, ["qid", "claim_no"], "claim")
+    if isinstance(asked.schema["vector"].dataType.elementType, T.StructType):
+        pairs = offered.select(*QUESTION, F.inline("vector").alias("term", "weight")).join(
+            asked.select(*QUESTION, F.inline("vector").alias("term", "asked")), [*QUESTION, "term"]
+        )
+        cosine = F.col("weight") * F.col("asked")
+    else:
+        pairs = offered.join(asked.withColumnRenamed("vector", "asked"), QUESTION)
+        cosine = dot(F.col("vector"), F.col("asked"))
+    cosines = pairs.groupBy(*QUESTION).agg(F.sum(cosine).alias("total"))
     return (
         candidates.groupBy(*QUESTION)
         .agg(F.count("*").alias("n"))
@@ -164,12 +167,12 @@ def answer_relevancy(records: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-# Metric name to its scorer of (records, terms, judge, share).
+# Metric name to its scorer of (records, embed, judge, share).
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
-    "faithfulness": lambda r, t, j, s: faithfulness(claim_verdicts(r, j, s)),
-    "answer_relevancy": lambda r, t, j, s: answer_relevancy(r, t),
-    "context_precision": lambda r, t, j, s: context_precision(relevance(r, j, s)),
-    "context_recall": lambda r, t, j, s: context_recall(claim_verdicts(r, j, s)),
+    "faithfulness": lambda r, e, j, s: faithfulness(claim_verdicts(r, j, s)),
+    "answer_relevancy": lambda r, e, j, s: answer_relevancy(r, e),
+    "context_precision": lambda r, e, j, s: context_precision(relevance(r, j, s)),
+    "context_recall": lambda r, e, j, s: context_recall(claim_verdicts(r, j, s)),
 }
 
 
@@ -183,20 +186,17 @@ def known_metrics(names: Sequence[str]) -> list[str]:
 
 def score_long(
     records: DataFrame,
-    terms: DataFrame,
+    embed: Embed,
     metrics: Sequence[str] = METRICS,
     judge: Callable | None = None,
     share: float = SUPPORT,
 ) -> DataFrame:
-    scored = [REGISTRY[m](records, terms, judge, share) for m in known_metrics(metrics)]
+    scored = [REGISTRY[m](records, embed, judge, share) for m in known_metrics(metrics)]
     if not scored:
         return records.select(
             *QUESTION, F.lit("").alias("metric"), F.lit(0.0).alias("score")
         ).filter(F.lit(False))
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, scored)
 
 
 def score_wide(records: DataFrame, scores: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:

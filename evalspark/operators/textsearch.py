@@ -110,11 +110,16 @@ def text_vectors(texts: DataFrame, keys: list[str], text: str, terms: DataFrame)
     return unit_vectors(weighed, keys)
 
 
-def topk_text(questions: DataFrame, terms: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def topk_chunks(asked: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact top ``k`` chunks by cosine: ``experiment, qid, rank, doc_id, pos, sim``.
 
-    Scores are rounded before ranking, so copies tie and the first chunk leads.
+    ``asked(experiment, qid, vector)`` holds vectors of the kind in ``vectors``. Scores
+    are rounded before ranking, so copies tie and the first chunk leads.
     """
-    asked = text_vectors(questions, ["qid"], "question", terms).withColumnRenamed("experiment", "cell")
-    corpus = vectors.select(F.col("experiment").alias("cell"), "doc_id", "pos", "vector")
-    return blocks.topk(corpus, asked, ["doc_id", "pos"], k).withColumnRenamed("cell", "experiment")
+    found = blocks.topk(
+        vectors.select(F.col("experiment").alias("cell"), "doc_id", "pos", "vector"),
+        asked.withColumnRenamed("experiment", "cell"),
+        ["doc_id", "pos"],
+        k,
+    )
+    return found.withColumnRenamed("cell", "experiment")

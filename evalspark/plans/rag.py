@@ -10,32 +10,25 @@ from pyspark.sql import functions as F
 from evalspark import hooks
 from evalspark.operators import answering, metrics
 from evalspark.operators.chunking import BASE, with_chunk_index
+from evalspark.operators.embedding import Embed, embed_with
 from evalspark.operators.mmr import mmr
-from evalspark.operators.textsearch import CHUNK, topk_text
+from evalspark.operators.textsearch import CHUNK, topk_chunks
 from evalspark.session import stage
 from evalspark.settings import Settings
 from evalspark.sources.tables import Index, load_or_build_index
 
-Runs = Sequence[tuple[str, Settings]]
-
-
-def one_setting(runs: Runs, name: str):
-    """The value that all runs of one plan share."""
-    values = {getattr(settings, name) for _, settings in runs}
-    if len(values) != 1:
-        raise ValueError(f"the runs of one plan share {name}, got {sorted(map(str, values))}")
-    return values.pop()
+def embed_for(index: Index, settings: Settings) -> Embed:
+    return embed_with(settings, index.terms, index.experiments)
 
 
 def retrieve(questions: DataFrame, index: Index, settings: Settings) -> DataFrame:
     """``experiment, qid, rank, doc_id, pos, sim`` under every experiment of the index."""
+    asked = embed_for(index, settings)(questions, ["qid"], "question")
     if settings.search_type == "similarity":
-        return topk_text(questions, index.terms, index.vectors, settings.k)
-    pool = topk_text(questions, index.terms, index.vectors, settings.fetch_k)
+        return topk_chunks(asked, index.vectors, settings.k)
+    pool = topk_chunks(asked, index.vectors, settings.fetch_k).withColumnRenamed("experiment", "cell")
     vectors = index.vectors.withColumnRenamed("experiment", "cell")
-    chosen = mmr(
-        pool.withColumnRenamed("experiment", "cell"), vectors, ["doc_id", "pos"], settings.k, settings.lambda_mult
-    )
+    chosen = mmr(stage(pool, pool.sparkSession), vectors, ["doc_id", "pos"], settings.k, settings.lambda_mult)
     return chosen.withColumnRenamed("cell", "experiment")
 
 
@@ -72,7 +65,7 @@ def score(records: DataFrame, index: Index, settings: Settings, judge: str | Non
     """``experiment, qid, metric, score``; records are staged, as each metric reads them."""
     return metrics.score_long(
         stage(records, records.sparkSession),
-        index.terms,
+        embed_for(index, settings),
         settings.metrics,
         hooks.judge(judge) if judge else None,
         settings.support_threshold,

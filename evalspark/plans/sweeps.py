@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.scores import fixed, metric_label
 from evalspark.operators import metrics
 from evalspark.operators.answering import QUESTION
+from evalspark.operators.embedding import embed_with
 from evalspark.plans.rag import answer_all, retrieve, score, with_text
 from evalspark.session import stage
 from evalspark.settings import CHUNK_SIZES, K_VALUES, METRICS, Settings, sweep_overlap
@@ -106,10 +108,35 @@ def k_scores(
     shared = index.terms.drop("experiment").withColumn(
         "experiment", F.explode(F.array(*map(F.lit, names)))
     )
-    records = answer_all(items, by_k, names, base)
-    return metrics.score_long(
-        stage(records, docs.sparkSession), shared, base.metrics, share=base.support_threshold
-    )
+    records = stage(answer_all(items, by_k, names, base), docs.sparkSession)
+    embed = embed_with(base, shared, names)
+    return metrics.score_long(records, embed, base.metrics, share=base.support_threshold)
+
+
+def embedding_variants(models: Sequence[dict]) -> list[dict]:
+    """``models`` are dicts with ``name``, ``provider`` and ``model_name``."""
+    return [
+        {
+            "experiment": f"embedding_{m['name']}",
+            "param_name": "embedding_model",
+            "param_value": m["model_name"],
+            "overrides": {"embedding.provider": m["provider"], "embedding.model_name": m["model_name"]},
+        }
+        for m in models
+    ]
+
+
+def embedding_scores(
+    docs: DataFrame, items: DataFrame, base: Settings, models: Sequence[dict], root: str | None = None
+) -> DataFrame:
+    """Scores of every embedding model; each model has an index of its own."""
+    scores = []
+    for v in embedding_variants(models):
+        settings = base.variant(v["overrides"])
+        index = load_or_build_index(docs, [(v["experiment"], settings)], root)
+        hits = with_text(retrieve(items, index, settings), index)
+        scores.append(score(answer_all(items, hits, index.experiments, settings), index, settings))
+    return reduce(DataFrame.unionByName, scores)
 
 
 def experiment_summary(scores: DataFrame, variants: Sequence[dict]) -> DataFrame:
@@ -120,10 +147,7 @@ def experiment_summary(scores: DataFrame, variants: Sequence[dict]) -> DataFrame
 
 def stack_summaries(summaries: Sequence[DataFrame]) -> DataFrame:
     """Summaries below each other; a column that one lacks is null there."""
-    out = summaries[0]
-    for more in summaries[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), summaries)
 
 
 def param_series(summary: DataFrame) -> DataFrame:

@@ -72,18 +72,17 @@ def load_files(
     loaded = F.when(F.lit(False), "")
     for suffix, load in loaders.items():
         loaded = loaded.when(F.col("suffix") == suffix, load(F.col("content")))
-    read = wanted.select("path", tx.clean_text(loaded).alias("text"))
+    read = wanted.select("path", loaded.alias("text"))
+    full = read.filter(tx.has_text(F.col("text"))).withColumn("text", tx.clean_text(F.col("text")))
     documents = number_by_path(
-        read.filter(F.col("text") != "").select(
-            "text", *[c.alias(n) for n, c in document_metadata(F.col("path"), F.col("text")).items()]
-        )
+        full.select("text", *[c.alias(n) for n, c in document_metadata(F.col("path"), F.col("text")).items()])
     )
     # The content column is not read for files that no loader takes.
     unread = files.filter(~F.col("suffix").isin(*loaders)).select(
         "path",
         F.when(F.col("suffix").isin(*SUPPORTED), "no loader").otherwise("unsupported").alias("reason"),
     )
-    empty = read.filter(F.coalesce(F.col("text"), F.lit("")) == "").select(
+    empty = read.filter(~F.coalesce(tx.has_text(F.col("text")), F.lit(False))).select(
         "path", F.when(F.col("text").isNull(), "unreadable").otherwise("empty").alias("reason")
     )
     return documents, unread.unionByName(empty)

@@ -13,13 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalspark import hooks
+from evalspark.functions.vectors import as_double, normalize
 from evalspark.operators import cache as cache_ops
 from evalspark.operators.chunking import chunk_offsets, chunk_recursive, chunk_windows
-from evalspark.operators.textsearch import term_counts, term_table, unit_vectors, weigh
+from evalspark.operators.embedding import TFIDF
+from evalspark.operators.textsearch import CHUNK, term_counts, term_table, unit_vectors, weigh
 from evalspark.session import shared_dir, spread
 from evalspark.settings import Settings
 
 CHUNK_METADATA = ("source", "filename", "file_type", "char_count", "chunk_index")
+# Part of the fingerprint; raise it when the tables of an index change.
+FORMAT = 1
 INDEX_TABLES = ("chunks", "terms", "vectors", "offsets")
 # Written last, so an index without it is unfinished.
 DONE = "done"
@@ -74,6 +79,7 @@ class Index:
     terms: DataFrame
     vectors: DataFrame
     offsets: DataFrame
+    experiments: tuple[str, ...]
 
 
 def fingerprint(docs: DataFrame, runs: Sequence[tuple[str, Settings]]) -> str:
@@ -83,18 +89,30 @@ def fingerprint(docs: DataFrame, runs: Sequence[tuple[str, Settings]]) -> str:
         F.count("*"), F.bit_xor(row), F.sum(row.cast("decimal(20,0)"))
     ).head()
     shape = [
-        (name, s.chunk_size, s.chunk_overlap, s.splitter, s.separators, s.embedding_model)
+        (name, s.chunk_size, s.chunk_overlap, s.splitter, s.separators, s.embedding_provider, s.embedding_model)
         for name, s in runs
     ]
-    return hashlib.sha256(json.dumps([[str(v) for v in digest], shape]).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([FORMAT, [str(v) for v in digest], shape]).encode()).hexdigest()
 
 
-def load_index(spark: SparkSession, root: str, mark: str) -> Index | None:
+def load_index(spark: SparkSession, root: str, mark: str, experiments: Sequence[str]) -> Index | None:
     """The index saved under this fingerprint, or None."""
     folder = f"{root}/{mark}"
     if not exists(spark, f"{folder}/{DONE}"):
         return None
-    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES])
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES], tuple(experiments))
+
+
+def cached_vectors(chunks: DataFrame, settings: Settings, path: str) -> DataFrame:
+    """Chunk vectors of a registered model; only texts that the cache lacks are embedded."""
+    spark = chunks.sparkSession
+    texts = cache_ops.keyed(chunks, settings.embedding_model, "chunk_text")
+    misses = cache_ops.cache_misses(texts, load_cache(spark, path), "chunk_text")
+    append_cache(hooks.embedder(settings.embedding_provider, "chunk_text")(misses), path)
+    # Chunks of one text share one cache row, so AQE can split the side of the chunks.
+    return texts.select(*CHUNK, *cache_ops.KEY).join(load_cache(spark, path), cache_ops.KEY).select(
+        *CHUNK, normalize(as_double(F.col("embedding"))).alias("vector")
+    )
 
 
 def build_index(docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str, mark: str) -> Index:
@@ -110,12 +128,11 @@ def build_index(docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
-    shapes = {(s.splitter, s.separators) for _, s in runs}
+    shapes = {(s.splitter, s.separators, s.embedding_provider, s.embedding_model) for _, s in runs}
     if len(shapes) != 1:
-        raise ValueError("the runs of one index share a splitter and its separators")
-    splitter, separators = shapes.pop()
+        raise ValueError("the runs of one index share splitter, separators and embedding model")
+    splitter, separators, provider, _ = shapes.pop()
     sizes = [(name, s.chunk_size, s.chunk_overlap) for name, s in runs]
-    docs = spread(docs)
     cut = (
         chunk_recursive(docs, sizes, separators)
         if splitter == "recursive"
@@ -123,11 +140,14 @@ def build_index(docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str
     )
     chunks = save(cut, "chunks")
     terms = save(term_table(chunks), "terms")
-    counts = term_counts(spread(chunks))
-    vectors = save(unit_vectors(weigh(counts, terms, terms.count()), ["doc_id", "pos"]), "vectors")
+    if provider == TFIDF:
+        weighed = weigh(term_counts(spread(chunks)), terms, terms.count())
+        vectors = save(unit_vectors(weighed, ["doc_id", "pos"]), "vectors")
+    else:
+        vectors = save(cached_vectors(chunks, runs[0][1], f"{root}/cache"), "vectors")
     offsets = save(chunk_offsets(chunks), "offsets")
     save(spark.range(1), DONE)
-    return Index(chunks, terms, vectors, offsets)
+    return Index(chunks, terms, vectors, offsets, tuple(name for name, _ in runs))
 
 
 def load_or_build_index(
@@ -137,7 +157,7 @@ def load_or_build_index(
     spark = docs.sparkSession
     root = root or f"{shared_dir(spark)}/index"
     mark = fingerprint(docs, runs)
-    found = None if rebuild else load_index(spark, root, mark)
+    found = None if rebuild else load_index(spark, root, mark, [name for name, _ in runs])
     return found or build_index(docs, runs, root, mark)
 
 
