@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 from collections.abc import Callable
-from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -20,7 +20,7 @@ from evalspark.functions.vectors import as_double, normalize  # noqa: E402
 from evalspark.operators import answering, cache, chunking, densesearch, metrics  # noqa: E402
 from evalspark.operators.mmr import mmr as mmr_pick  # noqa: E402
 from evalspark.plans import rag, sweeps  # noqa: E402
-from evalspark.session import shared_dir, spread, stage  # noqa: E402
+from evalspark.session import shared_dir, ship, spread, stage  # noqa: E402
 from evalspark.settings import Settings  # noqa: E402
 from evalspark.sources import evalset, files  # noqa: E402
 from evalspark.sources.tables import Index, load_or_build_index  # noqa: E402
@@ -441,7 +441,7 @@ def q_chunk_size_sweep(spark, folder):
 def q_embedding_sweep(spark, folder):
     """Two embeddings of one corpus; a hit is relevant when it has the label asked for."""
     models = {"embedding_full": 64, "embedding_half": 32}
-    units = reduce(DataFrame.unionByName, [unit_table(spark, folder, d, name) for name, d in models.items()])
+    units = functools.reduce(DataFrame.unionByName, [unit_table(spark, folder, d, name) for name, d in models.items()])
     found = densesearch.topk_dense(units.drop("label"), centers(units), SETTINGS.k)
     labels = units.select("cell", "vec_id", "label")
     relevant = found.join(labels, ["cell", "vec_id"]).select(
@@ -471,7 +471,7 @@ def q_stage_counts(spark, folder):
         "cache_hits": cache.cache_hits(texts, known),
         "cache_misses": cache.cache_misses(texts, known),
     }
-    return reduce(
+    return functools.reduce(
         DataFrame.unionByName,
         [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in stages.items()],
     )
@@ -479,13 +479,24 @@ def q_stage_counts(spark, folder):
 
 def entry(spark: SparkSession) -> DataFrame:
     """All questions answered from the smallest corpus and scored, one row per question."""
-    return q_scores_wide(spark, SMALLEST)
+    return shipped(q_scores_wide)(spark, SMALLEST)
+
+
+def shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose tasks find this code, wherever the session was started."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark, os.path.abspath(__file__), os.path.abspath(oracles.__file__))
+        return query(spark, folder)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name[2:]: query for name, query in globals().items() if name.startswith("q_")}
     found.update({metric: metric_query(metric) for metric in SETTINGS.metrics})
-    return found
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

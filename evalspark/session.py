@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Applications whose executors have the package.
+_SHIPPED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``.
@@ -14,14 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: on a cluster the
     executors would not see it and it would be lost with the machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="evalspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="evalspark-"))
+    return context.getCheckpointDir()
 
 
 def stage(table: DataFrame, spark: SparkSession) -> DataFrame:
@@ -44,3 +49,22 @@ def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return docs.repartition(count, key)
+
+
+def ship(spark: SparkSession, *modules: str) -> None:
+    """Give this package, and single-file ``modules``, to the executors; once per session.
+
+    Not needed where they have it installed or get it by ``--py-files``.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="evalspark-"), "package")
+    context.addPyFile(
+        shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+    )
+    for module in modules:
+        context.addPyFile(module)
+    _SHIPPED.add(context.applicationId)
+
