@@ -23,7 +23,7 @@ from evalspark.plans import rag, sweeps  # noqa: E402
 from evalspark.session import shared_dir, ship, spread, stage  # noqa: E402
 from evalspark.settings import Settings  # noqa: E402
 from evalspark.sources import evalset, files  # noqa: E402
-from evalspark.sources.tables import Index, load_or_build_index  # noqa: E402
+from evalspark.sources.tables import Index, file_mark, load_or_build_index  # noqa: E402
 
 # Windows have a SQL twin; the recursive split, the default, has not.
 SETTINGS = Settings(splitter="windows")
@@ -64,8 +64,13 @@ def index_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}"
 
 
+def saved(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Where indexes are, and which state of the documents they must be of."""
+    return {"root": index_root(spark), "corpus": file_mark(table(spark, folder, "documents"))}
+
+
 def index(spark: SparkSession, folder: str) -> Index:
-    return load_or_build_index(documents(spark, folder), [(chunking.BASE, SETTINGS)], index_root(spark))
+    return load_or_build_index(documents(spark, folder), [(chunking.BASE, SETTINGS)], **saved(spark, folder))
 
 
 def hits(spark: SparkSession, folder: str, settings: Settings = SETTINGS) -> DataFrame:
@@ -343,7 +348,7 @@ def q_extractive_answer(spark, folder):
 
 
 def q_rag_end_to_end(spark, folder):
-    built = rag.Rag(SETTINGS).build(documents(spark, folder), index_root(spark))
+    built = rag.Rag(SETTINGS).build(documents(spark, folder), **saved(spark, folder))
     return built.batch_query(items(spark, folder)).select(
         "qid",
         "question",
@@ -407,12 +412,12 @@ def q_diagnosis(spark, folder):
 
 
 def size_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scores = sweeps.chunk_size_scores(documents(spark, folder), items(spark, folder), SETTINGS, root=index_root(spark))
+    scores = sweeps.chunk_size_scores(documents(spark, folder), items(spark, folder), SETTINGS, **saved(spark, folder))
     return sweeps.experiment_summary(stage(scores, spark), sweeps.chunk_size_variants())
 
 
 def k_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scores = sweeps.k_scores(documents(spark, folder), items(spark, folder), SETTINGS, root=index_root(spark))
+    scores = sweeps.k_scores(documents(spark, folder), items(spark, folder), SETTINGS, **saved(spark, folder))
     return sweeps.experiment_summary(stage(scores, spark), sweeps.k_variants())
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from evalspark.session import stage
 from evalspark.settings import SEPARATORS
 
 BASE = "base"
@@ -65,9 +66,8 @@ def recursive_texts(text: str, size: int, overlap: int, separators: Sequence[str
     """Chunks of one text: coarse separators first, finer ones where pieces stay too long."""
     found = next((i for i, s in enumerate(separators) if s in text), None)
     if found is None:
-        separator, finer = "", ()
-    else:
-        separator, finer = separators[found], separators[found + 1 :]
+        return [text.strip()] if text.strip() else []
+    separator, finer = separators[found], separators[found + 1 :]
     if separator:
         first, *rest = text.split(separator)
         pieces = [first, *(separator + piece for piece in rest)]
@@ -154,14 +154,16 @@ def chunk_offsets(chunks: DataFrame, order: str = "doc_id") -> DataFrame:
     the few buckets give each one its start. No task sees all documents, and any
     choice of cuts gives the same result.
     """
-    counts = chunks.groupBy("experiment", order).agg(F.count("*").alias("n"))
+    counts = stage(
+        chunks.groupBy("experiment", order).agg(F.count("*").alias("n")), chunks.sparkSession
+    )
+    # At most BUCKETS keys in one row.
     cuts = (
         counts.groupBy(F.pmod(F.xxhash64(order), F.lit(BUCKETS)).alias("h"))
         .agg(F.min(F.struct(F.xxhash64(order, F.lit(1)), order)).alias("pick"))
         .agg(F.array_sort(F.collect_set(f"pick.{order}")).alias("cuts"))
     )
-    # At most BUCKETS keys in one row: the broadcast has a fixed bound.
-    bucketed = counts.join(F.broadcast(cuts)).select(
+    bucketed = counts.withColumn("cuts", cuts.scalar()).select(
         "experiment",
         order,
         "n",

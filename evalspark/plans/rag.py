@@ -79,11 +79,13 @@ class Rag:
         self.settings = settings or Settings()
         self.index: Index | None = None
 
-    def build(self, docs: DataFrame, root: str | None = None, rebuild: bool = False) -> "Rag":
+    def build(
+        self, docs: DataFrame, root: str | None = None, rebuild: bool = False, corpus: str | None = None
+    ) -> "Rag":
         """Index ``docs``, or load the index saved for the same corpus and settings."""
         if "filename" not in docs.columns:
             docs = docs.withColumn("filename", F.lit(None).cast("string"))
-        self.index = load_or_build_index(docs, [(BASE, self.settings)], root, rebuild)
+        self.index = load_or_build_index(docs, [(BASE, self.settings)], root, rebuild, corpus)
         return self
 
     def _built(self) -> Index:

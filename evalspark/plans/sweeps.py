@@ -72,12 +72,12 @@ def labelled(table: DataFrame, variants: Sequence[dict]) -> DataFrame:
 
 
 def chunk_size_scores(
-    docs: DataFrame, items: DataFrame, base: Settings, sizes: Sequence[int] = CHUNK_SIZES, root: str | None = None
+    docs: DataFrame, items: DataFrame, base: Settings, sizes: Sequence[int] = CHUNK_SIZES, root: str | None = None, corpus: str | None = None
 ) -> DataFrame:
     """Scores of every chunk size. All sizes are cut in one scan and searched in one job."""
     variants = chunk_size_variants(sizes)
     runs = [(v["experiment"], base.variant(v["overrides"])) for v in variants]
-    index = load_or_build_index(docs, runs, root)
+    index = load_or_build_index(docs, runs, root, corpus=corpus)
     hits = with_text(retrieve(items, index, base), index)
     return score(answer_all(items, hits, [name for name, _ in runs], base), index, base)
 
@@ -93,13 +93,13 @@ def hits_by_k(hits: DataFrame, k_column: Column) -> DataFrame:
 
 
 def k_scores(
-    docs: DataFrame, items: DataFrame, base: Settings, values: Sequence[int] = K_VALUES, root: str | None = None
+    docs: DataFrame, items: DataFrame, base: Settings, values: Sequence[int] = K_VALUES, root: str | None = None, corpus: str | None = None
 ) -> DataFrame:
     """Scores of every k, from one index and one search at the largest k.
 
     MMR is greedy, so its first picks for a large k are its picks for a small one.
     """
-    index = load_or_build_index(docs, [("base", base)], root)
+    index = load_or_build_index(docs, [("base", base)], root, corpus=corpus)
     most = base.variant({"retriever.k": max(values)})
     hits = stage(with_text(retrieve(items, index, most), index), docs.sparkSession)
     by_k = hits_by_k(hits, F.array(*map(F.lit, values)))
@@ -127,13 +127,13 @@ def embedding_variants(models: Sequence[dict]) -> list[dict]:
 
 
 def embedding_scores(
-    docs: DataFrame, items: DataFrame, base: Settings, models: Sequence[dict], root: str | None = None
+    docs: DataFrame, items: DataFrame, base: Settings, models: Sequence[dict], root: str | None = None, corpus: str | None = None
 ) -> DataFrame:
     """Scores of every embedding model; each model has an index of its own."""
     scores = []
     for v in embedding_variants(models):
         settings = base.variant(v["overrides"])
-        index = load_or_build_index(docs, [(v["experiment"], settings)], root)
+        index = load_or_build_index(docs, [(v["experiment"], settings)], root, corpus=corpus)
         hits = with_text(retrieve(items, index, settings), index)
         scores.append(score(answer_all(items, hits, index.experiments, settings), index, settings))
     return reduce(DataFrame.unionByName, scores)

@@ -82,17 +82,28 @@ class Index:
     experiments: tuple[str, ...]
 
 
-def fingerprint(docs: DataFrame, runs: Sequence[tuple[str, Settings]]) -> str:
-    """Changes with any document and with any setting that shapes the index."""
+def text_mark(docs: DataFrame) -> str:
+    """Changes with any document; reads them all."""
     row = F.xxhash64("doc_id", "text")
-    digest = docs.agg(
-        F.count("*"), F.bit_xor(row), F.sum(row.cast("decimal(20,0)"))
-    ).head()
+    digest = docs.agg(F.count("*"), F.bit_xor(row), F.sum(row.cast("decimal(20,0)"))).head()
+    return str(tuple(map(str, digest)))
+
+
+def file_mark(scan: DataFrame) -> str:
+    """Changes with any file of a file scan; reads their names, sizes and times only."""
+    files = scan.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    row = F.xxhash64("file_path", "file_size", "file_modification_time")
+    digest = files.agg(F.count("*"), F.bit_xor(row), F.sum(row.cast("decimal(20,0)"))).head()
+    return str(tuple(map(str, digest)))
+
+
+def fingerprint(corpus: str, runs: Sequence[tuple[str, Settings]]) -> str:
+    """Changes with the corpus and with any setting that shapes the index."""
     shape = [
         (name, s.chunk_size, s.chunk_overlap, s.splitter, s.separators, s.embedding_provider, s.embedding_model)
         for name, s in runs
     ]
-    return hashlib.sha256(json.dumps([FORMAT, [str(v) for v in digest], shape]).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([FORMAT, corpus, shape]).encode()).hexdigest()
 
 
 def load_index(spark: SparkSession, root: str, mark: str, experiments: Sequence[str]) -> Index | None:
@@ -151,12 +162,20 @@ def build_index(docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str
 
 
 def load_or_build_index(
-    docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str | None = None, rebuild: bool = False
+    docs: DataFrame,
+    runs: Sequence[tuple[str, Settings]],
+    root: str | None = None,
+    rebuild: bool = False,
+    corpus: str | None = None,
 ) -> Index:
-    """A saved index is used only if corpus and settings are those it was built from."""
+    """A saved index is used only if corpus and settings are those it was built from.
+
+    ``corpus`` names the state of the documents, as ``file_mark`` or a table version
+    does; without it all texts are read to tell.
+    """
     spark = docs.sparkSession
     root = root or f"{shared_dir(spark)}/index"
-    mark = fingerprint(docs, runs)
+    mark = fingerprint(corpus or text_mark(docs), runs)
     found = None if rebuild else load_index(spark, root, mark, [name for name, _ in runs])
     return found or build_index(docs, runs, root, mark)
 

@@ -43,6 +43,7 @@ def test_hand_worked_splits():
     assert split("one two three four", 11, 0, SEPARATORS) == ["one two", "three four"]
     assert split("one two three four", 10, 4, SEPARATORS) == ["one two", "two three", "four"]
     assert split("abcdefghij", 4, 2, SEPARATORS) == ["abcd", "cdef", "efgh", "ghij"]
+    assert split("unbroken text", 4, 0, ["\n"]) == ["unbroken text"]
     assert split("Hi there. Bye now", 10, 0, SEPARATORS) == ["Hi there", ". Bye now"]
 
 
