@@ -33,9 +33,9 @@ def contexts_by_query(questions: DataFrame, hits: DataFrame) -> DataFrame:
     ``questions(experiment, qid, ...)`` keeps those that found nothing. A group
     holds the k hits of one question.
     """
-    found = F.array_sort(
-        F.collect_list(F.struct("rank", "doc_id", "pos", "filename", "sim", "chunk_text"))
-    )
+    shown = ["rank", "doc_id", "pos", "filename", "sim", "chunk_text"]
+    shown += [name for name in ("chunk_index",) if name in hits.columns]
+    found = F.array_sort(F.collect_list(F.struct(*shown)))
     gathered = hits.groupBy(*QUESTION).agg(found.alias("source_documents"))
     empty = F.from_json(F.lit("[]"), gathered.schema["source_documents"].dataType)
     return (

@@ -32,13 +32,18 @@ def retrieve(questions: DataFrame, index: Index, settings: Settings) -> DataFram
     return chosen.withColumnRenamed("cell", "experiment")
 
 
-def with_text(hits: DataFrame, index: Index) -> DataFrame:
-    """Add text, file name and global index of the chunks that were hit.
+def with_text(hits: DataFrame, index: Index, numbered: bool = False) -> DataFrame:
+    """Add text and file name of the chunks that were hit, and on request ``chunk_index``.
 
-    Hits are few and staged, so Spark sees their size and leaves the chunks in place.
+    Hits are few and staged, so Spark sees their size and leaves the big tables in
+    place. Each big table meets the hits on its own for that reason.
     """
-    texts = index.chunks.select(*CHUNK, "filename", "chunk_text")
-    return with_chunk_index(stage(hits, hits.sparkSession).join(texts, CHUNK), index.offsets)
+    hits = stage(hits, hits.sparkSession)
+    found = hits.join(index.chunks.select(*CHUNK, "filename", "chunk_text"), CHUNK)
+    if not numbered:
+        return found
+    numbers = with_chunk_index(hits.select(*CHUNK), index.offsets).distinct()
+    return found.join(numbers, CHUNK)
 
 
 def answer(answerable: DataFrame, settings: Settings) -> DataFrame:
@@ -96,7 +101,7 @@ class Rag:
     def batch_query(self, questions: DataFrame) -> DataFrame:
         """Answers for ``questions(qid, question, ...)``; sort by ``qid`` for input order."""
         index = self._built()
-        hits = with_text(retrieve(questions, index, self.settings), index)
+        hits = with_text(retrieve(questions, index, self.settings), index, numbered=True)
         return answer_all(questions, hits, [BASE], self.settings)
 
     def query(self, question: str) -> DataFrame:

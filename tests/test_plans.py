@@ -48,6 +48,9 @@ def test_answers(corpus, questions, tmp_path):
     assert rows[0].answer == "Cats purr when they are happy" and rows[0].source_documents[0].filename == "file0.txt"
     assert rows[2].answer == answering.REFUSAL and rows[2].contexts == []
     assert all(len(r.contexts) <= 2 for r in rows.values())
+    for document in (d for r in rows.values() for d in r.source_documents):
+        before = rag.index.chunks.filter(f"doc_id < {document.doc_id}").count()
+        assert document.chunk_index == before + document.pos
     one = rag.query("Why do cats purr?").collect()
     assert len(one) == 1 and one[0].answer == rows[0].answer
 
