@@ -25,6 +25,12 @@ from evalspark.settings import Settings  # noqa: E402
 from evalspark.sources import evalset, files  # noqa: E402
 from evalspark.sources.tables import Index, file_mark, load_or_build_index  # noqa: E402
 
+try:
+    import corpus_pipeline
+    from evalspark.llm import queries as llm
+except ImportError:  # the subpackage is optional, and only here
+    llm = None
+
 # Windows have a SQL twin; the recursive split, the default, has not.
 SETTINGS = Settings(splitter="windows")
 SMALLEST = "/root/testdata/sf0.001"
@@ -501,8 +507,10 @@ def shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name[2:]: query for name, query in globals().items() if name.startswith("q_")}
     found.update({metric: metric_query(metric) for metric in SETTINGS.metrics})
+    if llm:
+        found.update(llm.QUERIES, pipeline=corpus_pipeline.run)
     return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | (llm.SQL if llm else {})
