@@ -55,7 +55,7 @@ def pieces(items: DataFrame, width: int) -> DataFrame:
                     yield item or "", at, len(part), b" ".join(part)
 
     return items.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(
-        lambda b: in_slices(rows(b), schema), "item string, piece bigint, n bigint, body binary"
+        lambda b: in_slices(rows(b), schema, 3), "item string, piece bigint, n bigint, body binary"
     )
 
 

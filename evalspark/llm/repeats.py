@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.words import EMPTY_SHA, LAST, in_slices, texts_of
-from evalspark.session import stage
+from evalspark.llm.words import EMPTY_SHA, LAST, in_slices, stage_tidy, texts_of
 
 # Symbols of a text that are hashed at once, and windows of a segment at most.
 PIECE = 1 << 18
@@ -126,6 +125,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def packed(kind: Kind, texts: DataFrame) -> DataFrame:
+    """``did, cid, packed, full``: texts as they travel, with zstd and their size before it."""
+    schema = pa.schema([("did", pa.int64()), ("cid", pa.binary()), ("packed", pa.binary()), ("full", pa.int64())])
+
+    def rows(batches):
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            for did, cid, data in zip(batch.column("did").to_pylist(), batch.column("cid").to_pylist(), texts_of(batch, "text")):
+                body = kind.join(kind.split(data))
+                yield did, cid, codec.compress(body, asbytes=True), len(body)
+
+    return texts.select("did", "cid", "text").mapInArrow(lambda b: in_slices(rows(b), schema, 2), "did bigint, cid binary, packed binary, full bigint")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[bytes]:
+    codec = pa.Codec("zstd", 1)
+    for data, full in zip(batch.column("packed"), batch.column("full").to_pylist()):
+        yield codec.decompress(data.as_buffer(), full, asbytes=True) if full else b""
+
+
 def sketch(kind: Kind, docs: DataFrame, spark: SparkSession) -> DataFrame:
     """``doc_id, did, cid, n, sha, keys``; the lowest bit of a key tells that the text has it twice."""
     schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("cid", pa.binary()), ("n", pa.int64()), ("sha", pa.string()), ("keys", pa.list_(pa.int64()))])
@@ -139,7 +158,7 @@ def sketch(kind: Kind, docs: DataFrame, spark: SparkSession) -> DataFrame:
                 sha = hashlib.sha256(kind.join(symbols)).hexdigest()
                 yield doc, did, cid, len(symbols), sha, found | (count > 1)
 
-    return stage(keyed(docs).mapInArrow(lambda b: in_slices(rows(b), schema), SKETCH), spark)
+    return stage_tidy(keyed(docs).mapInArrow(lambda b: in_slices(rows(b), schema, 5), SKETCH), spark)
 
 
 SKETCH = T.StructType(
@@ -148,116 +167,124 @@ SKETCH = T.StructType(
 
 
 def flagged(sketched: DataFrame) -> DataFrame:
-    """``did, cid, keys``: texts with keys that stand elsewhere too, the bit kept; one row per text."""
+    """``did, cid, keys``: texts with keys that stand elsewhere too, the bit kept; one row per text.
+
+    Keys travel with 64 bits of their text's identity; texts that have these in common are
+    looked at for each other's keys, nothing more.
+    """
     texts = sketched.groupBy("cid").agg(F.min("did").alias("did"), F.any_value("keys").alias("keys"))
-    places = texts.select("did", "cid", F.explode("keys").alias("k")).select(
-        "did", "cid", F.col("k").bitwiseAND(-2).alias("key"), F.col("k").bitwiseAND(1).alias("twice")
-    )
-    shared = (
-        places.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
-        .filter("n > 1 OR twice = 1").select("key")
-    )
-    both = F.col("key").bitwiseOR(F.col("twice")).alias("k")
-    return places.join(shared, "key").select("did", "cid", both).groupBy("did", "cid").agg(F.collect_list("k").alias("keys"))
+    short = F.xxhash64("cid").alias("tid")
+    places = texts.select(short, F.explode("keys").alias("k"))
+    key = F.col("k").bitwiseAND(-2).alias("key")
+    times = F.sum((F.col("k").bitwiseAND(1) + 1).cast("int")).alias("n")
+    shared = places.groupBy(key).agg(times).filter("n > 1").select("key")
+    # Half of one side's keys are in the other, so hashing beats sorting both.
+    met = places.join(shared.hint("shuffle_hash"), places["k"].bitwiseAND(-2) == shared["key"]).groupBy("tid").agg(F.collect_list("k").alias("keys"))
+    owners = sketched.groupBy("cid").agg(F.min("did").alias("did")).withColumn("tid", F.xxhash64("cid"))
+    return owners.join(met, "tid").select("did", "cid", "keys")
 
 
-WORK = "did bigint, cid binary, body binary, starts array<int>, sizes array<int>, keys array<bigint>"
+WORK = "did bigint, cid binary, packed binary, full bigint, starts array<int>, sizes array<int>, keys array<bigint>"
 
 
 def work_table(kind: Kind, docs: DataFrame, marked: DataFrame, spark: SparkSession) -> DataFrame:
     """Texts with flagged keys and the segments to look at; the only time that texts move whole."""
-    schema = pa.schema([("did", pa.int64()), ("cid", pa.binary()), ("body", pa.binary()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("did", pa.int64()), ("cid", pa.binary()), ("packed", pa.binary()), ("full", pa.int64()), ("starts", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 
     def rows(batches):
         for batch in batches:
-            ids = (batch.column(c).to_pylist() for c in ("did", "cid"))
-            for did, cid, data, wanted in zip(*ids, texts_of(batch, "text"), batch.column("keys")):
-                symbols = kind.split(data)
+            ids = (batch.column(c).to_pylist() for c in ("did", "cid", "packed", "full"))
+            for did, cid, data, full, body, wanted in zip(*ids, unpacked(batch), batch.column("keys")):
+                symbols = kind.split(body)
                 start, size, key = runs(kind, symbols)
                 wanted = np.sort(wanted.values.to_numpy(zero_copy_only=False))
                 met = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)]
                 own = met & ~np.int64(1) == key
-                yield did, cid, kind.join(symbols), start[own], size[own], met[own]
+                yield did, cid, data, full, start[own], size[own], met[own]
+
+    met = packed(kind, keyed(docs)).join(marked, ["did", "cid"])
+    return stage_tidy(met.mapInArrow(lambda b: in_slices(rows(b), schema, 2), WORK), spark)
 
-    met = keyed(docs).drop("doc_id").join(marked, ["did", "cid"])
-    return stage(met.mapInArrow(lambda b: in_slices(rows(b), schema), WORK), spark)
+
+SEGMENT = "key bigint, segment binary, size int, twice int, did bigint, tid bigint, start int"
 
 
 def segments(kind: Kind, work: DataFrame) -> DataFrame:
-    """``key, segment, size, twice, first (did, cid, start)``: each different segment, its first place."""
-    schema = pa.schema([("key", pa.int64()), ("segment", pa.binary()), ("size", pa.int32()), ("twice", pa.int32()), ("did", pa.int64()), ("cid", pa.binary()), ("start", pa.int32())])
+    """``key, segment, size, twice, first (did, tid, start)``: each different segment, its first place."""
+    schema = pa.schema([("key", pa.int64()), ("segment", pa.binary()), ("size", pa.int32()), ("twice", pa.int32()), ("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int32())])
 
     def rows(batches):
         for batch in batches:
-            for did, cid, body, starts, sizes, keys in zip(*(batch.column(c).to_pylist() for c in ("did", "cid", "body", "starts", "sizes", "keys"))):
+            ids = (batch.column(c).to_pylist() for c in ("did", "tid", "starts", "sizes", "keys"))
+            for did, tid, starts, sizes, keys, body in zip(*ids, unpacked(batch)):
                 symbols = kind.split(body)
                 for start, size, key in zip(starts, sizes, keys):
-                    yield key & -2, kind.join(symbols[start : start + size + kind.width - 1]), size, key & 1, did, cid, start
+                    yield key & -2, kind.join(symbols[start : start + size + kind.width - 1]), size, key & 1, did, tid, start
 
-    cut = work.mapInArrow(
-        lambda b: in_slices(rows(b), schema),
-        "key bigint, segment binary, size int, twice int, did bigint, cid binary, start int",
-    )
+    cut = work.drop("cid").mapInArrow(lambda b: in_slices(rows(b), schema, 1), SEGMENT)
     return cut.groupBy("key", "segment", "size").agg(
-        F.max("twice").alias("twice"), F.min(F.struct("did", "cid", "start")).alias("first")
+        F.max("twice").alias("twice"), F.min(F.struct("did", "tid", "start")).alias("first")
     )
 
 
 def dealt(kind: Kind, found: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
-    """``(alone, sharded)``: segments without another to meet, and ``shard, segment, size, did, cid, start``.
+    """``(alone, sharded)``: segments without another to meet, and ``shard, key, segment, size, did, tid, start``.
 
     A key with one segment that it stands in once has no two equal windows. Of the others,
     those that may share windows are in one shard.
     """
-    schema = pa.schema([("segment", pa.binary()), ("size", pa.int32()), ("did", pa.int64()), ("cid", pa.binary()), ("start", pa.int32())])
+    schema = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("segment", pa.binary()), ("size", pa.int32()), ("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int32())])
 
-    def singles(batches):
+    def routed(batches):
         for batch in batches:
-            for body, size, did, cid, start in zip(*(batch.column(c).to_pylist() for c in schema.names)):
+            for n, key, body, size, did, tid, start in zip(*(batch.column(c).to_pylist() for c in ("n", *schema.names[1:]))):
+                if n <= HOT_KEY:
+                    yield key, key, body, size, did, tid, start
+                    continue
                 parts = kind.split(body)
                 for j in range(size):
-                    yield kind.join(parts[j : j + kind.width]), 1, did, cid, start + j
+                    window = kind.join(parts[j : j + kind.width])
+                    route = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                    yield route, key, window, 1, did, tid, start + j
 
-    flat = found.select("key", "twice", "segment", "size", "first.did", "first.cid", "first.start")
-    met = "n > 1 OR twice = 1"
+    met = "n > 1 OR twice > 0"
     counts = found.groupBy("key").agg(
         F.count("*").alias("n"), F.max("twice").alias("twice"), F.sum(F.col("size") + kind.width).alias("symbols")
     )
     symbols = counts.filter(met).agg(F.sum("symbols")).first()[0] or 0
     count = max(1, -(-symbols // shard))
-    counted = flat.join(counts.select("key", "n"), "key")
-    columns = schema.names
-    cold = counted.filter(f"({met}) AND n <= {HOT_KEY}").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(count)))
-    hot = counted.filter(f"n > {HOT_KEY}").select(*columns).mapInArrow(
-        lambda b: in_slices(singles(b), schema), "segment binary, size int, did bigint, cid binary, start int"
-    ).withColumn("shard", F.pmod(F.xxhash64("segment"), F.lit(count)))
-    sharded = cold.select("shard", *columns).unionByName(hot.select("shard", *columns))
-    return counted.filter(f"NOT ({met})").select("did", "cid", "start", "size"), sharded.repartition(count, "shard")
+    flat = found.select("key", "segment", "size", "first.did", "first.tid", "first.start")
+    alone = flat.join(counts.filter(f"NOT ({met})").select("key"), "key").select("did", "tid", "start", "size")
+    several = flat.join(counts.filter(met).select("key", "n"), "key").mapInArrow(
+        lambda b: in_slices(routed(b), schema, 2),
+        "route bigint, key bigint, segment binary, size int, did bigint, tid bigint, start int",
+    )
+    return alone, several.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(count))).drop("route").repartition(count, "shard")
 
 
-ANSWER = "did bigint, cid binary, start int, size int, earlier binary"
+ANSWER = "did bigint, tid bigint, start int, size int, earlier binary"
 
 
 def answers(kind: Kind, table: DataFrame, index: Callable) -> DataFrame:
     """``ANSWER`` rows: for the segment at this place, a bit for each window that starts earlier elsewhere.
 
-    ``index(segments, sizes, order)`` gets one shard: lists of symbols, windows of each and
-    the rank of each place, and returns a boolean array per segment.
+    ``index(segments, sizes, order, keys)`` gets one shard: lists of symbols, windows of each,
+    the rank of each place and the keys, and returns a boolean array per segment.
     """
-    schema = pa.schema([("did", pa.int64()), ("cid", pa.binary()), ("start", pa.int32()), ("size", pa.int32()), ("earlier", pa.binary())])
+    schema = pa.schema([("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("earlier", pa.binary())])
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
-        places = [(did, cid) for _, _, did, cid, _ in rows]
+        places = [(did, tid) for _, _, _, did, tid, _ in rows]
         rank = {p: i for i, p in enumerate(sorted(set(places)))}
-        order = np.array([(rank[p] << 32) + r[4] for p, r in zip(places, rows)], np.int64)
-        masks = index([kind.split(r[0]) for r in rows], np.array([r[1] for r in rows]), order)
-        for (_, size, did, cid, start), mask in zip(rows, masks):
-            yield did, cid, start, size, np.packbits(mask).tobytes()
+        order = np.array([(rank[p] << 32) + r[5] for p, r in zip(places, rows)], np.int64)
+        masks = index([kind.split(r[1]) for r in rows], np.array([r[2] for r in rows]), order, [r[0] for r in rows])
+        for (_, _, size, did, tid, start), mask in zip(rows, masks):
+            yield did, tid, start, size, np.packbits(mask).tobytes() if mask.any() else None
 
     def rows(batches):
         shards: dict[int, list[tuple]] = {}
         for batch in batches:
-            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "segment", "size", "did", "cid", "start"))):
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "segment", "size", "did", "tid", "start"))):
                 shards.setdefault(shard, []).append(tuple(row))
         while shards:
             yield from one(shards.popitem()[1])
@@ -268,31 +295,53 @@ def answers(kind: Kind, table: DataFrame, index: Callable) -> DataFrame:
 VERDICT = "cid binary, n_removed bigint, n_spans bigint, sha string, kept binary"
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges of these starts and sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 def verdicts(kind: Kind, work: DataFrame, told: DataFrame, with_text: bool) -> DataFrame:
-    """``VERDICT`` of each text in ``work``: segments that no answer names are later places."""
+    """``VERDICT`` of each text in ``work`` that loses something: segments that no answer names
+    are later places."""
     schema = pa.schema([("cid", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.binary())])
 
     def rows(batches):
+        codec = pa.Codec("zstd", 1)
+        number = lambda x: x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int32)
         for batch in batches:
-            for cid, body, starts, sizes, told in zip(*(batch.column(c).to_pylist() for c in ("cid", "body", "starts", "sizes", "told"))):
-                symbols = kind.split(body)
-                earlier = np.zeros(len(symbols) + 1, bool)
-                for a, k in zip(starts, sizes):
-                    earlier[a : a + k] = True
-                for x in told or ():
-                    a, k, bits = x["start"], x["size"], x["earlier"]
-                    earlier[a : a + k] = np.unpackbits(np.frombuffer(bits, np.uint8), count=k) if bits else False
-                edge = np.diff(earlier.astype(np.int8), prepend=0)
+            for cid, data, full, *lists, told in zip(*(batch.column(c) for c in ("cid", "packed", "full", "starts", "sizes", "at", "long", "earlier"))):
+                starts, sizes, at, long = map(number, lists)
+                earlier = np.zeros(int((starts + sizes).max(initial=0)), bool)
+                earlier[ranges(starts, sizes)] = True
+                earlier[ranges(at, long)] = False
+                bits = told.values if told.is_valid else ()
+                for i in np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False)) if len(bits) else ():
+                    a, k = at[i], long[i]
+                    earlier[a : a + k] = np.unpackbits(np.frombuffer(bits[i].as_buffer(), np.uint8), count=k)
+                if not earlier.any():
+                    continue
+                symbols = kind.split(codec.decompress(data.as_buffer(), full.as_py(), asbytes=True))
+                edge = np.diff(earlier.astype(np.int8), prepend=0, append=0)
                 count = np.zeros(len(symbols) + kind.width + 1, np.int32)
                 np.add.at(count, np.flatnonzero(edge == 1), 1)
                 np.add.at(count, np.flatnonzero(edge == -1) + kind.width - 1, -1)
                 gone = np.cumsum(count)[: len(symbols)] > 0
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 kept = kept_part(kind, symbols, gone)
-                yield cid, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None
+                yield cid.as_py(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), whole_characters(kept) if with_text else b""
+
+    by_text = told.groupBy("did", "tid").agg(F.collect_list(F.struct("start", "size", "earlier")).alias("told"))
+    met = work.drop("keys").join(by_text, ["did", "tid"], "left").select(
+        "cid", "packed", "full", "starts", "sizes",
+        F.col("told.start").alias("at"), F.col("told.size").alias("long"), F.col("told.earlier").alias("earlier"),
+    )
+    return met.mapInArrow(lambda b: in_slices(rows(b), schema, 4), VERDICT)
+
 
-    by_text = told.groupBy("cid").agg(F.collect_list(F.struct("start", "size", "earlier")).alias("told"))
-    return work.select("cid", "body", "starts", "sizes").join(by_text, "cid", "left").mapInArrow(lambda b: in_slices(rows(b), schema), VERDICT)
+def whole_characters(data: bytes) -> bytes:
+    """UTF-8 without the rest of characters that a cut has split."""
+    return data.decode("utf-8", "ignore").encode()
 
 
 def kept_part(kind: Kind, symbols, gone: np.ndarray) -> bytes:
@@ -309,13 +358,13 @@ def find(kind: Kind, docs: DataFrame, index: Callable, shard: int, with_text: bo
     """
     spark = docs.sparkSession
     sketched = sketch(kind, docs, spark)
-    work = work_table(kind, docs, flagged(sketched), spark)
-    found = stage(segments(kind, work), spark)
+    work = work_table(kind, docs, flagged(sketched), spark).withColumn("tid", F.xxhash64("cid"))
+    found = stage_tidy(segments(kind, work), spark)
     alone, sharded = dealt(kind, found, shard)
     told = answers(kind, sharded, index).unionByName(alone.withColumn("earlier", F.lit(None).cast("binary")))
     lost = verdicts(kind, work, told, with_text)
     if with_text:
-        lost = stage(lost, spark)
+        lost = stage_tidy(lost, spark)
     owners = sketched.groupBy("cid").agg(F.min("did").alias("owner"))
     whole = (F.col("did") != F.col("owner")) & (F.col("n") >= kind.width)
     # Rows that repeat an id and a text give a text twice.

@@ -21,7 +21,7 @@ from evalspark.llm.fmindex import FMIndex, matching
 from evalspark.llm.words import split_words
 
 WIDTH = 20
-GRAM = 8
+GRAM = 6
 SHARD_WORDS = 1_000_000
 
 _HASHES: dict[bytes, int] = {}
@@ -77,6 +77,6 @@ def earlier_windows(segments: list[list[bytes]], sizes: np.ndarray, order: np.nd
 def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``doc_id, n_words, n_removed, n_spans, kept_sha256`` for each row of ``docs``."""
     decided, _ = repeats.find(
-        kind(width, gram), docs, lambda s, k, o: earlier_windows(s, k, o, width), shard_words
+        kind(width, gram), docs, lambda s, k, o, _: earlier_windows(s, k, o, width), shard_words
     )
     return decided.selectExpr("doc_id", "n AS n_words", "n_removed", "n_spans", "sha AS kept_sha256")

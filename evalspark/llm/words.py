@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.session import stage
+
 # ASCII white space parts words, the rest is left as it is.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -36,13 +38,15 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in data.to_pylist()]
 
 
-def in_slices(rows: Iterator[tuple], schema: pa.Schema, count: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of the tuples, cut by rows and by bytes held, so that memory stays bounded."""
+def in_slices(rows: Iterator[tuple], schema: pa.Schema, big: int | None = None, count: int = 2000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches of the tuples, cut by rows and by the bytes held in column ``big``, so that
+    memory stays bounded."""
     kept: list[tuple] = []
     held = 0
     for row in rows:
         kept.append(row)
-        held += sum(len(x) if isinstance(x, (bytes, str)) else 8 * len(x) if hasattr(x, "__len__") else 8 for x in row)
+        if big is not None:
+            held += len(row[big])
         if len(kept) >= count or held >= size:
             yield to_batch(kept, schema)
             kept, held = [], 0
@@ -52,3 +56,17 @@ def in_slices(rows: Iterator[tuple], schema: pa.Schema, count: int = 2000, size:
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage_tidy(table: DataFrame, spark: SparkSession) -> DataFrame:
+    """``stage``, and the shuffle files of that write go when it ends, not some time later:
+    what follows reads the table."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return stage(table, spark)
+    finally:
+        spark.conf.set(CLEANUP, before)
