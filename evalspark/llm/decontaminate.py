@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.llm.automaton import ItemAutomaton
-from evalspark.llm.words import in_slices, texts_of
+from evalspark.llm.words import bounded_batches, in_slices, texts_of
 from evalspark.session import stage
 
 WIDTH = 10
@@ -120,6 +120,7 @@ def blocks(items: DataFrame, width: int, block_words: int) -> Iterator[list[tupl
 
 def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``_n`` words, ``_spans`` hit and ``_items`` found, one row per row."""
+    bounded_batches(docs.sparkSession)
     parts = list(blocks(items, width, block_words))
     told = lambda words, spans, found: (len(words), spans, sorted(found))
     if len(parts) == 1:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.words import EMPTY_SHA, LAST, in_slices, stage_tidy, texts_of
+from evalspark.llm.words import EMPTY_SHA, LAST, bounded_batches, in_slices, stage_tidy, texts_of
 
 # Symbols of a text that are hashed at once, and windows of a segment at most.
 PIECE = 1 << 18
@@ -357,6 +357,7 @@ def find(kind: Kind, docs: DataFrame, index: Callable, shard: int, with_text: bo
     text with a smaller ``doc_id`` and loses everything if it holds a window at all.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     sketched = sketch(kind, docs, spark)
     work = work_table(kind, docs, flagged(sketched), spark).withColumn("tid", F.xxhash64("cid"))
     found = stage_tidy(segments(kind, work), spark)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.words import LAST, in_slices, split_words, texts_of
+from evalspark.llm.words import LAST, bounded_batches, in_slices, split_words, texts_of
 from evalspark.session import stage
 
 SHINGLE = 3
@@ -240,6 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     made = stage(fingerprints(docs), docs.sparkSession)
     each = made.groupBy("fp").agg(F.min("did").alias("did"))
     root = components(links(each, bucket))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evalspark.llm.words import in_slices, split_words, texts_of
+from evalspark.llm.words import bounded_batches, in_slices, split_words, texts_of
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 KEPT = 400_000
@@ -92,6 +92,7 @@ class Forward:
 
 def token_counts(docs: DataFrame, path: str = PATH) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(zipf_pieces(path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 

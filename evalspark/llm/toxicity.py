@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.words import in_slices
+from evalspark.llm.words import bounded_batches, in_slices
 
 SAMPLE_DOCS = 10_000
 LEXICON = 2000
@@ -180,6 +180,7 @@ def learn_weights(rows: DataFrame, exceptions: tuple[str, ...] = ()) -> dict[str
 
 def train(docs: DataFrame, labels: DataFrame, held_out: str = HELD_OUT, most: int = SAMPLE_DOCS, exceptions: tuple[str, ...] = ()) -> tuple[dict[str, float], list[float]]:
     """Weights, and the coefficients of ``inputs``."""
+    bounded_batches(docs.sparkSession)
     rows = sample(docs, labels, held_out, most)
     weights = learn_weights(rows, exceptions)
 

@@ -70,3 +70,13 @@ def stage_tidy(table: DataFrame, spark: SparkSession) -> DataFrame:
         return stage(table, spark)
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of this session hold at most so many rows and bytes or one row.
+
+    By default they hold 10,000 rows however long, which for whole documents is tens of
+    megabytes in each task, on both sides of the pipe.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
