@@ -20,7 +20,7 @@ from evalspark.functions.vectors import as_double, normalize  # noqa: E402
 from evalspark.operators import answering, cache, chunking, densesearch, metrics  # noqa: E402
 from evalspark.operators.mmr import mmr as mmr_pick  # noqa: E402
 from evalspark.plans import rag, sweeps  # noqa: E402
-from evalspark.session import shared_dir, ship, spread, stage  # noqa: E402
+from evalspark.session import shared_dir, ship, stage  # noqa: E402
 from evalspark.settings import Settings  # noqa: E402
 from evalspark.sources import evalset, files  # noqa: E402
 from evalspark.sources.tables import Index, file_mark, load_or_build_index  # noqa: E402
@@ -48,9 +48,9 @@ def path_column() -> Column:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    """``doc_id, text, filename``, cleaned after the documents are spread over tasks."""
+    """``doc_id, text, filename``, cleaned where they are read."""
     raw = table(spark, folder, "documents").select("doc_id", "text", path_column().alias("path"))
-    return spread(raw).select(
+    return raw.select(
         "doc_id", tx.clean_text(F.col("text")).alias("text"), tx.file_name(F.col("path")).alias("filename")
     )
 
@@ -135,14 +135,14 @@ def marked(text: Column) -> Column:
 
 
 def q_clean_text(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", tx.clean_text(dirty(F.col("text"))).alias("text")).withColumn(
         "char_count", F.char_length("text")
     )
 
 
 def q_markdown_strip(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", tx.strip_markdown(marked(F.col("text"))).alias("text"))
 
 
@@ -153,7 +153,7 @@ def q_html_strip(spark, folder):
 def q_drop_empty_docs(spark, folder):
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     blank = F.when(F.col("quality") == 0, "\n \t\u2003").otherwise(F.col("text"))
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return (
         docs.join(labels, "doc_id", "left")
         .select("doc_id", blank.alias("text"))
@@ -373,7 +373,7 @@ def q_eval_records(spark, folder):
 
 
 def q_claims(spark, folder):
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.posexplode(tx.claims(F.col("text"))).alias("claim_no", "claim"))
 
 

@@ -5,6 +5,8 @@ Each hook is a batch function that Spark calls on Arrow batches inside tasks.
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,8 +20,11 @@ _WRITERS: dict[str, Callable] = {}
 _JUDGES: dict[str, Callable] = {}
 
 
-def register_embedder(provider: str, make_predict: Callable[[], Callable]) -> None:
-    """``make_predict()`` loads a model in the task; it maps texts to a matrix."""
+def register_embedder(provider: str, make_predict: Callable) -> None:
+    """``make_predict(model)`` loads the model of that name in the task; it maps texts to a matrix.
+
+    A function without parameters stands for a provider with one model.
+    """
     _EMBEDDERS[provider] = make_predict
 
 
@@ -40,11 +45,14 @@ def _lookup(table: dict, kind: str, provider: str):
 
 
 def embedder(
-    provider: str, text: str = "text", batch_size: int = 256
+    provider: str, text: str = "text", batch_size: int = 256, model: str | None = None
 ) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``embedding`` to a table of texts."""
+    make_predict = _lookup(_EMBEDDERS, "embedding", provider)
+    if inspect.signature(make_predict).parameters:
+        make_predict = functools.partial(make_predict, model)
     predict = predict_batch_udf(
-        _lookup(_EMBEDDERS, "embedding", provider),
+        make_predict,
         return_type=T.ArrayType(T.FloatType()),
         batch_size=batch_size,
     )

@@ -124,7 +124,7 @@ def chunk_recursive(
                 part = batch[names].copy()
                 part.insert(0, "experiment", name)
                 part["chunk_text"] = [
-                    recursive_texts(t, size, overlap, separators) for t in batch[text]
+                    recursive_texts(t or "", size, overlap, separators) for t in batch[text]
                 ]
                 part["pos"] = [list(range(len(c))) for c in part["chunk_text"]]
                 part = part[part["pos"].map(len) > 0].explode(["pos", "chunk_text"])

@@ -22,7 +22,7 @@ def embed_with(settings: Settings, terms: DataFrame, experiments: Sequence[str])
     """How texts of a run become vectors, under each of its experiments."""
     if settings.embedding_provider == TFIDF:
         return lambda texts, keys, text: text_vectors(texts, keys, text, terms)
-    embed = hooks.embedder(settings.embedding_provider)
+    embed = hooks.embedder(settings.embedding_provider, model=settings.embedding_model)
 
     def dense(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
         if "experiment" not in texts.columns:

@@ -32,18 +32,18 @@ THRESHOLDS = {
     "context_precision": 0.7,
     "context_recall": 0.8,
 }
-# Advice for a low score.
+# What to look at first when a mean is low.
 ADVICE = {
-    "faithfulness": "Strengthen grounding prompt; use better LLM; set temperature to 0.0",
-    "answer_relevancy": "Prompt for direct answers; reduce k; use better LLM",
-    "context_precision": "Better embedding model; smaller chunk size; cross-encoder re-ranker; MMR",
-    "context_recall": "Increase k; larger chunk size; better embedding model; check corpus coverage",
+    "faithfulness": "Answers say things that their contexts do not: look at the prompt and the writer first",
+    "answer_relevancy": "Answers drift from the question: ask for shorter ones and pass on fewer contexts",
+    "context_precision": "Contexts without use rank high: try other vectors, shorter chunks or more diversity",
+    "context_recall": "The contexts lack needed facts: retrieve more or longer chunks, or add documents",
 }
-# Patterns of two metrics, as (metric, is low) pairs, and their cause.
+# What two metrics say together, as (metric, is low) pairs.
 PATTERNS = (
-    (("faithfulness", True), ("context_precision", False), "LLM ignores the retrieved context"),
-    (("faithfulness", False), ("context_recall", True), "Too little relevant context retrieved"),
-    (("context_precision", True), ("context_recall", True), "Retrieval is failing"),
+    (("faithfulness", True), ("context_precision", False), "Good contexts are found and not used"),
+    (("faithfulness", False), ("context_recall", True), "Answers keep to contexts that hold too little"),
+    (("context_precision", True), ("context_recall", True), "The search finds neither enough nor the right chunks"),
 )
 
 
@@ -109,12 +109,16 @@ def context_recall(verdicts: DataFrame) -> DataFrame:
 
 
 def relevance(records: DataFrame, judge: Callable | None = None, share: float = SUPPORT) -> DataFrame:
-    """``experiment, qid, rank, relevant``: a context that supports a ground-truth claim."""
+    """``experiment, qid, rank, relevant``: a context that supports a ground-truth claim.
+
+    A question without contexts has one row, rank 1, that is not relevant.
+    """
     rows = records.select(
-        *QUESTION, "ground_truth", F.posexplode("contexts").alias("at", "context")
+        *QUESTION, "ground_truth", F.posexplode_outer("contexts").alias("at", "context")
     ).select(
         *QUESTION,
-        (F.col("at") + 1).alias("rank"),
+        F.coalesce(F.col("at") + 1, F.lit(1)).alias("rank"),
+        F.col("at").isNotNull().alias("found"),
         F.col("context") if judge else token_set(F.col("context")).alias("context"),
         F.explode_outer(claims(F.col("ground_truth"))).alias("claim"),
     )
@@ -123,7 +127,7 @@ def relevance(records: DataFrame, judge: Callable | None = None, share: float =
         if judge
         else supported(F.col("claim"), F.col("context"), share)
     )
-    return rows.groupBy(*QUESTION, "rank").agg(F.max(verdict).alias("relevant"))
+    return rows.groupBy(*QUESTION, "rank").agg(F.max(F.col("found") & verdict).alias("relevant"))
 
 
 def context_precision(relevant: DataFrame) -> DataFrame:

@@ -87,7 +87,12 @@ class Rag:
     def build(
         self, docs: DataFrame, root: str | None = None, rebuild: bool = False, corpus: str | None = None
     ) -> "Rag":
-        """Index ``docs``, or load the index saved for the same corpus and settings."""
+        """Index ``docs``, or load the index saved for the same corpus and settings.
+
+        ``doc_id`` is a whole number: searches carry it in numpy blocks.
+        """
+        if dict(docs.dtypes).get("doc_id") not in ("tinyint", "smallint", "int", "bigint"):
+            raise ValueError("doc_id has to be a column of whole numbers")
         if "filename" not in docs.columns:
             docs = docs.withColumn("filename", F.lit(None).cast("string"))
         self.index = load_or_build_index(docs, [(BASE, self.settings)], root, rebuild, corpus)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,14 +31,21 @@ def document_metadata(path: Column, text: Column) -> dict[str, Column]:
     }
 
 
-def scan_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Every file under ``directory``; a folder that does not exist is an error."""
+def any_case(suffix: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
+def scan_files(spark: SparkSession, directory: str, suffixes: Sequence[str] = ()) -> DataFrame:
+    """Files under ``directory``, with ``suffixes`` only those that end so in any case.
+
+    A folder that does not exist is an error.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    if suffixes:
+        scan = scan.option("pathGlobFilter", f"*{{{','.join(map(any_case, suffixes))}}}")
     try:
         return (
-            spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .option("ignoreCorruptFiles", True)
-            .load(directory)
+            scan.load(directory)
             .select("path", "length", "content")
         )
     except AnalysisException as error:
@@ -68,7 +75,9 @@ def load_files(
     """
     loaders = loaders or LOADERS
     files = scan_files(spark, directory).withColumn("suffix", tx.suffix(F.col("path")))
-    wanted = files.filter(F.col("suffix").isin(*loaders))
+    # Bytes of other files are never read, so their size does not matter.
+    wanted = scan_files(spark, directory, list(loaders)).withColumn("suffix", tx.suffix(F.col("path")))
+    wanted = wanted.filter(F.col("suffix").isin(*loaders))
     loaded = F.when(F.lit(False), "")
     for suffix, load in loaders.items():
         loaded = loaded.when(F.col("suffix") == suffix, load(F.col("content")))

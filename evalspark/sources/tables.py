@@ -60,10 +60,14 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The embedding cache; empty when there is none yet."""
+    """The embedding cache, one row per model and text; empty when there is none yet.
+
+    The schema is given, so that a model's name stays text; two builds may have added one key.
+    """
     if not exists(spark, path):
         return spark.createDataFrame([], cache_ops.SCHEMA)
-    return spark.read.parquet(path).select("model", "text_sha", "embedding")
+    stored = spark.read.schema(cache_ops.SCHEMA).parquet(path)
+    return stored.select("model", "text_sha", "embedding").dropDuplicates(cache_ops.KEY)
 
 
 def append_cache(new: DataFrame, path: str) -> None:
@@ -83,8 +87,8 @@ class Index:
 
 
 def text_mark(docs: DataFrame) -> str:
-    """Changes with any document; reads them all."""
-    row = F.xxhash64("doc_id", "text")
+    """Changes with any document, whatever column it is in; reads them all."""
+    row = F.xxhash64(*sorted(docs.columns))
     digest = docs.agg(F.count("*"), F.bit_xor(row), F.sum(row.cast("decimal(20,0)"))).head()
     return str(tuple(map(str, digest)))
 
@@ -119,7 +123,7 @@ def cached_vectors(chunks: DataFrame, settings: Settings, path: str) -> DataFram
     spark = chunks.sparkSession
     texts = cache_ops.keyed(chunks, settings.embedding_model, "chunk_text")
     misses = cache_ops.cache_misses(texts, load_cache(spark, path), "chunk_text")
-    append_cache(hooks.embedder(settings.embedding_provider, "chunk_text")(misses), path)
+    append_cache(hooks.embedder(settings.embedding_provider, "chunk_text", model=settings.embedding_model)(misses), path)
     # Chunks of one text share one cache row, so AQE can split the side of the chunks.
     return texts.select(*CHUNK, *cache_ops.KEY).join(load_cache(spark, path), cache_ops.KEY).select(
         *CHUNK, normalize(as_double(F.col("embedding"))).alias("vector")
