@@ -52,6 +52,8 @@ def in_slices(rows: Iterator[tuple], schema: pa.Schema, big: int | None = None,
             kept, held = [], 0
     if kept:
         yield to_batch(kept, schema)
+    # Workers live on between stages; what they do not use should not count against the executor.
+    pa.default_memory_pool().release_unused()
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
