@@ -1,3 +1,68 @@
-"""Plain SQL for the queries that SQL can express on whole tables."""
+"""Plain SQL for the queries that SQL can express on whole tables (DuckDB dialect)."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_chat_formatting": r"""
+        with t as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+        ), w as (
+            select *, contains(text, '<|im_start|>') or contains(text, '<|im_end|>') or regexp_matches(text, '<\\+\|')
+                as conflict,
+                length(role) + length('<|im_start|>') + length('<|im_end|>') + 2 as frame
+            from t
+        ), m as (
+            select *, case when conflict then length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) else length(text) end as inner_chars
+            from w
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+            sum(frame + inner_chars)::bigint as formatted_chars, true as identical
+        from m group by conv_id
+    """,
+    "op3_substring_dedup": r"""
+        with d as (
+            select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+            from documents
+        ), p as (
+            select doc_id, unnest(range(1, len(words) - 18)) as pos, words from d where len(words) >= 20
+        ), w as (
+            select doc_id, pos, row_number() over (partition by array_to_string(words[pos:pos + 19], ' ') order by doc_id, pos) > 1 as later
+            from p
+        ), g as (
+            select distinct doc_id, unnest(range(pos, pos + 20)) as pos from w where later
+        ), marks as (
+            select doc_id, list(pos order by pos) as gone, count(*) as n_removed,
+                count(*) filter (where not joined) as n_spans
+            from (select *, pos = lag(pos, 1, -1) over (partition by doc_id order by pos) + 1 as joined from g) group by doc_id
+        ), words as (
+            select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from d
+        ), kept as (
+            select words.doc_id, string_agg(word, ' ' order by words.pos) as kept
+            from words left join g on words.doc_id = g.doc_id and words.pos = g.pos where g.pos is null group by words.doc_id
+        )
+        select d.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+            coalesce(n_spans, 0)::bigint as n_spans, sha256(coalesce(kept, '')) as kept_sha256
+        from d left join marks using (doc_id) left join kept using (doc_id)
+    """,
+    "op4_url_filters": r"""
+        with u as (
+            select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages
+        ), p as (
+            select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+            from u
+        ), rules(verdict, rule, host, path) as (
+            values ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+                ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+        ), fits as (
+            select p.page_id, max_by(rules.rule, length(rules.rule)) as rule, max_by(rules.verdict, length(rules.rule)) as verdict
+            from p join rules on (p.host = rules.host or ends_with(p.host, '.' || rules.host)) and starts_with(p.path, rules.path)
+            group by p.page_id
+        )
+        select p.page_id, p.host, p.path, fits.rule, coalesce(fits.verdict, 'allow') as verdict
+        from p left join fits on p.page_id = fits.page_id
+    """,
+}
