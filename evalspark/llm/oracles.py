@@ -1,6 +1,35 @@
 """Plain SQL for the queries that SQL can express on whole tables (DuckDB dialect)."""
 
 SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": r"""
+        with d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from documents
+        ), i as (
+            select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from benchmark
+        ), windows as (
+            select distinct item_id, least(len(words), 10) as size, array_to_string(words[pos:pos + 9], ' ') as body
+            from (select item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as pos from i where len(words) > 0)
+        ), places as (
+            select doc_id, size, unnest(range(1, len(words) - size + 2)) as pos, words
+            from d join (select distinct size from windows) on len(words) >= size
+        ), met as (
+            select doc_id, places.size, pos, item_id from places join windows
+            on places.size = windows.size and array_to_string(words[pos:pos + places.size - 1], ' ') = body
+        ), hit as (
+            select doc_id, count(*) as n_hit from (
+                select distinct doc_id, unnest(range(pos, pos + size)) as pos from (select distinct doc_id, size, pos from met)
+            ) group by doc_id
+        ), items as (
+            select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+            from (select distinct doc_id, item_id::varchar as item from met) group by doc_id
+        )
+        select d.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+            coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+            coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join items using (doc_id)
+    """,
     "op2_chat_formatting": r"""
         with t as (
             select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -65,4 +94,28 @@ SQL: dict[str, str] = {
         select p.page_id, p.host, p.path, fits.rule, coalesce(fits.verdict, 'allow') as verdict
         from p left join fits on p.page_id = fits.page_id
     """,
+    "op7_quality_rules": r"""
+        with d as (
+            select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+            from documents
+        ), w as (
+            select doc_id, pos, count(*) over (partition by doc_id, array_to_string(words[pos:pos + 4], ' ')) > 1 as twice
+            from (select doc_id, words, unnest(range(1, len(words) - 3)) as pos from d where len(words) > 4)
+        ), r as (
+            select doc_id, count(*) as n from (select distinct doc_id, unnest(range(pos, pos + 5)) as pos from w where twice) group by doc_id
+        ), m as (
+            select d.doc_id, len(words)::bigint as n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+                length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+                len(lines) as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+                length(regexp_replace(t, '[^A-Z]', '', 'g')) as n_capitals, coalesce(r.n, 0)::bigint as n_repeat_words
+            from d left join r using (doc_id)
+        ), b as (
+            select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m
+        )
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            not (base_failed or 10 * n_symbols > n_words or (n_dup_lines > 2 and 10 * n_dup_lines > 3 * n_lines)
+                or word_chars < 2 * n_words or word_chars > 20 * n_words or 2 * n_capitals > word_chars) as kept
+        from b
+    """,
 }
