@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalspark.llm.words import EMPTY_SHA, LAST, bounded_batches, in_slices, stage_tidy, texts_of
+from evalspark.llm.words import EMPTY_SHA, LAST, bounded_batches, give_back, in_slices, stage_tidy, texts_of
 
 # Symbols of a text that are hashed at once, and windows of a segment at most.
 PIECE = 1 << 18
 LONGEST = 256
 # Different segments of a key beyond which it is dealt out as single windows.
 HOT_KEY = 2000
+# Symbols of all shards of a task, where there are more shards than tasks.
+TASK = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -259,7 +261,10 @@ def dealt(kind: Kind, found: DataFrame, shard: int) -> tuple[DataFrame, DataFram
         lambda b: in_slices(routed(b), schema, 2),
         "route bigint, key bigint, segment binary, size int, did bigint, tid bigint, start int",
     )
-    return alone, several.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(count))).drop("route").repartition(count, "shard")
+    # A task holds many shards, one at a time, so tasks need not grow in number as shards do.
+    tasks = min(count, max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-symbols // TASK)))
+    sharded = several.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(count))).drop("route")
+    return alone, sharded.repartition(tasks, "shard").sortWithinPartitions("shard")
 
 
 ANSWER = "did bigint, tid bigint, start int, size int, earlier binary"
@@ -268,7 +273,7 @@ ANSWER = "did bigint, tid bigint, start int, size int, earlier binary"
 def answers(kind: Kind, table: DataFrame, index: Callable) -> DataFrame:
     """``ANSWER`` rows: for the segment at this place, a bit for each window that starts earlier elsewhere.
 
-    ``index(segments, sizes, order, keys)`` gets one shard: lists of symbols, windows of each,
+    Rows of ``table`` come shard by shard. ``index(segments, sizes, order, keys)`` gets one shard: lists of symbols, windows of each,
     the rank of each place and the keys, and returns a boolean array per segment.
     """
     schema = pa.schema([("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("earlier", pa.binary())])
@@ -282,12 +287,17 @@ def answers(kind: Kind, table: DataFrame, index: Callable) -> DataFrame:
             yield did, tid, start, size, np.packbits(mask).tobytes() if mask.any() else None
 
     def rows(batches):
-        shards: dict[int, list[tuple]] = {}
+        now, held = None, []
         for batch in batches:
             for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "key", "segment", "size", "did", "tid", "start"))):
-                shards.setdefault(shard, []).append(tuple(row))
-        while shards:
-            yield from one(shards.popitem()[1])
+                if shard != now and held:
+                    yield from one(held)
+                    held = []
+                    give_back()
+                now = shard
+                held.append(tuple(row))
+        if held:
+            yield from one(held)
 
     return table.mapInArrow(lambda b: in_slices(rows(b), schema), ANSWER)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,8 +54,18 @@ def in_slices(rows: Iterator[tuple], schema: pa.Schema, big: int | None = None,
             kept, held = [], 0
     if kept:
         yield to_batch(kept, schema)
-    # Workers live on between stages; what they do not use should not count against the executor.
+    kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return unused memory to the system: workers live on between stages, and what they no
+    longer use should not count against the executor."""
     pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
