@@ -71,13 +71,15 @@ def load_files(
     """``(documents, rejects)``.
 
     Documents are ``doc_id, text, source, filename, file_type, char_count``, and
-    rejects ``path, reason``: unsupported, no loader, unreadable or empty.
+    rejects ``path, reason``: unsupported, no loader, too large (for one value), unreadable
+    or empty.
     """
     loaders = loaders or LOADERS
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
     files = scan_files(spark, directory).withColumn("suffix", tx.suffix(F.col("path")))
     # Bytes of other files are never read, so their size does not matter.
     wanted = scan_files(spark, directory, list(loaders)).withColumn("suffix", tx.suffix(F.col("path")))
-    wanted = wanted.filter(F.col("suffix").isin(*loaders))
+    wanted = wanted.filter(F.col("suffix").isin(*loaders) & (F.col("length") <= limit))
     loaded = F.when(F.lit(False), "")
     for suffix, load in loaders.items():
         loaded = loaded.when(F.col("suffix") == suffix, load(F.col("content")))
@@ -91,10 +93,13 @@ def load_files(
         "path",
         F.when(F.col("suffix").isin(*SUPPORTED), "no loader").otherwise("unsupported").alias("reason"),
     )
-    empty = read.filter(~F.coalesce(tx.has_text(F.col("text")), F.lit(False))).select(
-        "path", F.when(F.col("text").isNull(), "unreadable").otherwise("empty").alias("reason")
+    # A file that cannot be read leaves no row in ``read``; its listing does.
+    states = read.select("path", F.when(tx.has_text(F.col("text")), "full").when(F.col("text").isNotNull(), "empty").alias("state"))
+    listed = files.filter(F.col("suffix").isin(*loaders)).select("path", "length").join(states, "path", "left")
+    failed = listed.filter("state IS NULL OR state != 'full'").select(
+        "path", F.when(F.col("length") > limit, "too large").otherwise(F.coalesce("state", F.lit("unreadable"))).alias("reason")
     )
-    return documents, unread.unionByName(empty)
+    return documents, unread.unionByName(failed)
 
 
 def assemble_pages(pages: DataFrame, document: str, number: str, text: str = "text") -> DataFrame:

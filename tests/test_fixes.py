@@ -63,3 +63,21 @@ def test_bytes_of_other_files_are_not_read(spark, tmp_path):
         assert [r.reason for r in rejects.collect()] == ["unsupported"]
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("some text")
+    (tmp_path / "b.txt").write_text(" ")
+    (tmp_path / "c.txt").write_text("damaged")
+    # A checksum that does not fit: header, bytes per sum, sum.
+    (tmp_path / ".c.txt.crc").write_bytes(b"crc\0" + (512).to_bytes(4, "big") + b"\1\2\3\4")
+    (tmp_path / "d.txt").write_text("x" * 5000)
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        documents, rejects = load_files(spark, str(tmp_path))
+        assert [r.text for r in documents.collect()] == ["some text"]
+        got = {r.path.rsplit("/", 1)[1]: r.reason for r in rejects.collect()}
+        assert got == {"b.txt": "empty", "c.txt": "unreadable", "d.txt": "too large"}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
