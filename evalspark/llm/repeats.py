@@ -10,10 +10,10 @@ the same smallest hash among their ``gram``-symbol pieces, their *key*. So:
 3. ``segments``: runs of consecutive windows with one flagged key are cut out. Equal
    segments are combined to their first place before the shuffle; all windows of a later
    place have an earlier equal, so only first places need an index.
-4. Segments meet by key in shards of bounded size. A key with very many different segments
-   (a common passage in ever new surroundings) is split into single windows that are dealt
-   by their content, so no shard holds it all. ``index`` tells for each shard which windows
-   of a segment start earlier elsewhere.
+4. Segments meet by key in shards of bounded size. ``index`` tells for each shard which
+   windows of a segment start earlier elsewhere. A key with very many different segments
+   (a common passage in ever new surroundings) is in no shard: it is split into single
+   windows, and equal ones are combined to their first place before the shuffle.
 5. ``verdicts``: the answers go back to the texts, which lose every covered symbol.
 
 Every window is in exactly one segment, so results do not depend on the hashes: equal
@@ -230,43 +230,46 @@ def segments(kind: Kind, work: DataFrame) -> DataFrame:
 
 
 def dealt(kind: Kind, found: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
-    """``(alone, sharded)``: segments without another to meet, and ``shard, key, segment, size, did, tid, start``.
+    """``(alone, sharded)``: places that are first without an index, and ``shard, key, segment, size, did, tid, start``.
 
-    A key with one segment that it stands in once has no two equal windows. Of the others,
-    those that may share windows are in one shard.
+    A key with one segment that it stands in once has no two equal windows; of a hot key
+    each different window has one first place. Segments of other keys that may share
+    windows are in one shard.
     """
-    schema = pa.schema([("route", pa.int64()), ("key", pa.int64()), ("segment", pa.binary()), ("size", pa.int32()), ("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int32())])
-
-    def routed(batches):
-        for batch in batches:
-            for n, key, body, size, did, tid, start in zip(*(batch.column(c).to_pylist() for c in ("n", *schema.names[1:]))):
-                if n <= HOT_KEY:
-                    yield key, key, body, size, did, tid, start
-                    continue
-                parts = kind.split(body)
-                for j in range(size):
-                    window = kind.join(parts[j : j + kind.width])
-                    route = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
-                    yield route, key, window, 1, did, tid, start + j
-
-    met = "n > 1 OR twice > 0"
+    met = f"(n > 1 OR twice > 0) AND n <= {HOT_KEY}"
     counts = found.groupBy("key").agg(
         F.count("*").alias("n"), F.max("twice").alias("twice"), F.sum(F.col("size") + kind.width).alias("symbols")
     )
-    symbols = counts.filter(met).agg(F.sum("symbols")).first()[0] or 0
+    symbols, hot = counts.agg(F.sum(F.when(F.expr(met), F.col("symbols"))), F.count_if(F.col("n") > HOT_KEY)).first()
+    symbols = symbols or 0
     count = max(1, -(-symbols // shard))
     flat = found.select("key", "segment", "size", "first.did", "first.tid", "first.start")
-    alone = flat.join(counts.filter(f"NOT ({met})").select("key"), "key").select("did", "tid", "start", "size")
-    several = flat.join(counts.filter(met).select("key", "n"), "key").mapInArrow(
-        lambda b: in_slices(routed(b), schema, 2),
-        "route bigint, key bigint, segment binary, size int, did bigint, tid bigint, start int",
-    )
+    alone = flat.join(counts.filter("n = 1 AND twice = 0").select("key"), "key").select("did", "tid", "start", "size")
+    if hot:
+        alone = alone.unionByName(first_windows(kind, flat.join(counts.filter(F.col("n") > HOT_KEY).select("key"), "key")))
+    several = flat.join(counts.filter(met).select("key"), "key")
     # A task holds many shards, one at a time, so tasks need not grow in number as shards do.
     tasks = min(count, max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-symbols // TASK)))
-    sharded = several.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(count))).drop("route")
+    sharded = several.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(count)))
     return alone, sharded.repartition(tasks, "shard").sortWithinPartitions("shard")
 
 
+def first_windows(kind: Kind, several: DataFrame) -> DataFrame:
+    """``did, tid, start, size``: the first place of each different window of these segments."""
+    schema = pa.schema([("key", pa.int64()), ("window", pa.binary()), ("did", pa.int64()), ("tid", pa.int64()), ("start", pa.int32())])
+
+    def rows(batches):
+        for batch in batches:
+            for key, body, size, did, tid, start in zip(*(batch.column(c).to_pylist() for c in ("key", "segment", "size", "did", "tid", "start"))):
+                parts = kind.split(body)
+                for j in range(size):
+                    yield key, kind.join(parts[j : j + kind.width]), did, tid, start + j
+
+    cut = several.mapInArrow(lambda b: in_slices(rows(b), schema, 1), "key bigint, window binary, did bigint, tid bigint, start int")
+    first = cut.groupBy("key", "window").agg(F.min(F.struct("did", "tid", "start")).alias("first"))
+    return first.select("first.did", "first.tid", "first.start", F.lit(1).alias("size"))
+
+
 ANSWER = "did bigint, tid bigint, start int, size int, earlier binary"
 
 
