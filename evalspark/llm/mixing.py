@@ -5,7 +5,9 @@
    is one level for all, found with running sums over the table of sources.
 2. A source's documents are permuted by hash and cut into blocks. Whole rounds of a source
    take every block; the rest of its target takes blocks in order, and from the block where
-   it ends those documents that still fit. Running sums go over blocks, not documents.
+   it ends those documents that still fit. The gap that this leaves is filled from the blocks
+   after it in the same way, until no document of the source fits; what fills it goes with
+   the block where the target ended. Running sums go over blocks, not documents.
 3. Each block drawn is a unit. A splitting tree deals units to output shards: at a node, the
    left half gets a multivariate-hypergeometric count of each source's units, one source
    after the other, and so on down to single shards. Only counts go through the tree.
@@ -64,16 +66,39 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, total: float = TO
 
 def blocks_drawn(sizes: DataFrame, targets: DataFrame, block_words: int, block_docs: int) -> tuple[DataFrame, DataFrame]:
     """``(blocks, cuts)``: per ``(_r, block)`` its whole ``rounds`` and what the rest takes of it
-    (``rest``: all, some or none); per document of a block of some, ``(_r, block, _u)`` taken."""
+    (``rest``: all, some or none); ``(_r, block, _u)`` of each document that the rest takes from
+    other than whole blocks."""
+    spark = sizes.sparkSession
     placed = with_block(sizes, with_counts(targets, block_words, block_docs))
-    summed = placed.groupBy("_r", "block").agg(F.sum("size").alias("words"), F.any_value("rounds").alias("rounds"), F.any_value("left").alias("left"))
+    summed = placed.groupBy("_r", "block").agg(F.sum("size").alias("words"), F.any_value("rounds").alias("rounds"), F.any_value("left").alias("gap"))
+    told = stage(in_order_taken(summed), spark)
+    units = placed.groupBy("_r", "block", "_u").agg(F.sum("size").alias("size")).filter("size > 0")
+    end = "rest = 'some'"
+    met = stage(fitting(units.join(told.filter(end).select("_r", "block", "gap"), ["_r", "block"])), spark)
+    cuts = met.select("_r", "block", F.explode("taken").alias("_u"))
+    # Each step ends all sources or goes on behind the block where they ended, with a smaller gap.
+    while True:
+        gaps = met.select("_r", F.col("block").alias("_end"), "gap")
+        units = stage(units.join(gaps, "_r").filter("block > _end AND size <= gap").drop("_end"), spark)
+        if units.isEmpty():
+            return told.drop("gap", "words"), cuts
+        summed = units.groupBy("_r", "block").agg(F.sum("size").alias("words"), F.any_value("gap").alias("gap"))
+        more = stage(in_order_taken(summed), spark)
+        units = units.drop("gap")
+        whole = units.join(more.filter("rest = 'all'").select("_r", "block"), ["_r", "block"]).select("_r", "block", "_u")
+        met = stage(fitting(units.join(more.filter(end).select("_r", "block", "gap"), ["_r", "block"])), spark)
+        cuts = cuts.unionByName(whole).unionByName(met.select("_r", "block", F.explode("taken").alias("_u")))
+
+
+def in_order_taken(summed: DataFrame) -> DataFrame:
+    """Blocks with ``rest``, how much of each is taken when they fill ``gap`` in order, and the ``gap`` before each."""
     running = F.sum("words").over(Window.partitionBy("_r").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    told = summed.withColumn("gap", F.col("left") - F.coalesce(running, F.lit(0))).select(
-        "_r", "block", "rounds", "gap",
-        F.when(F.col("gap") >= F.col("words"), "all").when(F.col("gap") > 0, "some").otherwise("none").alias("rest"),
-    )
-    some = placed.join(told.filter("rest = 'some'").select("_r", "block", "gap"), ["_r", "block"])
-    units = some.groupBy("_r", "block", "_u").agg(F.sum("size").alias("size"), F.any_value("gap").alias("gap"))
+    told = summed.withColumn("gap", F.col("gap") - F.coalesce(running, F.lit(0)))
+    return told.withColumn("rest", F.when(F.col("gap") >= F.col("words"), "all").when(F.col("gap") > 0, "some").otherwise("none"))
+
+
+def fitting(units: DataFrame) -> DataFrame:
+    """``_r, block, gap, taken``: units of each block that fit its gap, in order, and the gap left."""
     in_order = units.groupBy("_r", "block").agg(
         F.any_value("gap").alias("gap"), F.array_sort(F.collect_list(F.struct("_u", "size"))).alias("units")
     )
@@ -81,13 +106,11 @@ def blocks_drawn(sizes: DataFrame, targets: DataFrame, block_words: int, block_d
     fold = F.aggregate(
         "units", start,
         lambda a, x: F.when(
-            (x["size"] > 0) & (x["size"] <= a["gap"]),
+            x["size"] <= a["gap"],
             F.struct((a["gap"] - x["size"]).alias("gap"), F.concat(a["taken"], F.array(x["_u"])).alias("taken")),
         ).otherwise(a),
-        lambda a: a["taken"],
     )
-    cuts = in_order.select("_r", "block", F.explode(fold).alias("_u"))
-    return told.drop("gap"), cuts
+    return in_order.select("_r", "block", fold.alias("x")).select("_r", "block", "x.gap", "x.taken")
 
 
 def with_counts(targets: DataFrame, block_words: int, block_docs: int) -> DataFrame:
@@ -183,15 +206,18 @@ def mix_plan(
     drawn = shards_of_blocks(blocks, depth, seed, spark)
     counted = with_counts(targets, block_words, block_docs)
     every = with_block(sized(docs, seed), counted)
-    cut = cuts.withColumn("_cut", F.lit(True))
+    # What fills a gap is in the shard of the block where its source's target ended.
+    cut = cuts.join(drawn.filter("rest = 'some'").select("_r", F.element_at("shards", -1).alias("_cut")), "_r")
     met = every.join(drawn, ["_r", "block"], "left").join(cut, ["_r", "block", "_u"], "left")
-    copies = F.col("rounds") + F.when(F.col("rest") == "all", 1).when(F.col("rest") == "some", F.coalesce("_cut", F.lit(False)).cast("int")).otherwise(0)
-    copies = F.when(F.col("size") > 0, copies).otherwise(0)
+    whole = F.col("rounds") + F.when(F.col("rest") == "all", 1).otherwise(0)
+    whole = F.when(F.col("size") > 0, whole).otherwise(0)
+    copies = whole + F.when((F.col("size") > 0) & F.col("_cut").isNotNull(), 1).otherwise(0)
+    last = F.when((F.col("size") > 0) & F.col("_cut").isNotNull(), F.array("_cut")).otherwise(F.array().cast("array<int>"))
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards", "place")]
     return met.select(
         *keep, "size", "source_size", "target",
         (F.col("size") * copies).cast("long").alias("taken"),
-        F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), copies.cast("int")).alias("shards"),
+        F.concat(F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), whole.cast("int")), last).alias("shards"),
         F.xxhash64(F.lit(seed), F.lit("place"), "_u").alias("place"),
     )
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evalspark.llm import repeats, suffixdedup
+from evalspark.llm import mixing, repeats, suffixdedup
 
 
 def test_hot_windows_are_combined(spark, monkeypatch):
@@ -33,3 +33,29 @@ def test_hot_windows_are_combined(spark, monkeypatch):
             seen.add(w)
         assert got[i][0] == sum(gone)
     assert got[0][0] == 0 and got[1][0] >= 150
+
+
+def test_gap_is_filled_from_later_blocks(spark):
+    """One document of half the source: what it leaves open is filled by short ones elsewhere."""
+    short = [(i, "a", "w " * (5 + i % 7)) for i in range(1, 200)]
+    for long in (700, 701, 702, 703):
+        docs = spark.createDataFrame([(0, "a", "w " * long), *short], "doc_id bigint, source string, text string")
+        plan = mixing.mix_plan(docs, total=0.4, block_words=300, shard_words=300).drop("text").collect()
+        gap = plan[0].target - sum(r.taken for r in plan)
+        assert -1 <= gap < min(r["size"] for r in plan if not r.taken) + 1
+        assert all(r.taken in (0, r["size"]) and len(r.shards) * r["size"] == r.taken for r in plan)
+        assert len({s for r in plan for s in r.shards}) <= 4
+
+
+def test_gap_takes_several_steps(spark):
+    """Documents of ever smaller size, most of them too long for what is left."""
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 2], "w " * max(1, int(1000 * rng.random() ** 6))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    plan = mixing.mix_plan(docs, total=0.7, block_words=200, shard_words=2000, seed="s").drop("text").collect()
+    for s in "ab":
+        mine = [r for r in plan if r.source == s]
+        gap = mine[0].target - sum(r.taken for r in mine)
+        missing = [r["size"] for r in mine if r.taken % (2 * r["size"]) == 0]
+        assert -1 <= gap and (not missing or gap < min(missing) + 1)
+        assert all(len(r.shards) * r["size"] == r.taken for r in mine)
