@@ -119,3 +119,121 @@ SQL: dict[str, str] = {
         from b
     """,
 }
+
+# The table of CRC-32 (reflected polynomial 0xEDB88320) and the checksum of a text by it.
+CRC_TABLE = """
+    crc_step as (
+        select i, 0 as k, i as v from range(256) t(i)
+        union all
+        select i, k + 1, case when v % 2 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from crc_step where k < 8
+    ), crc_table as (select list(v order by i) as crc from crc_step where k = 8)
+"""
+
+
+def crc32(text: str) -> str:
+    """DuckDB expression, where ``crc_table`` is joined."""
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+SQL["op12_spelling_variants"] = f"""
+    with recursive {CRC_TABLE}, runs as (
+        select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+        from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as run from documents)
+        group by all
+    ), marked as (
+        select run, n, {crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from runs, crc_table where length(run) >= 6
+    ), counted as (
+        select case when h % 199 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, sum(n)::bigint as n
+        from marked group by all
+    ), words as (select word, n from counted where length(word) >= 6 and n >= 5
+    ), cut as (
+        select word, n, i, left(word, i - 1) || substr(word, i + 1) as rest
+        from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+    ), near as (
+        select a.word, b.word as other, b.n as other_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+        union select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+        union select b.word, a.word, a.n from cut a join words b on a.rest = b.word
+    ), best as (
+        select word, count(*) as n_near, (list(other order by other_n desc, encode(other)))[1] as other, max(other_n) as other_n from near group by word
+    ), formed as (
+        select word, words.n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * words.n then other end as form,
+            case when other_n >= 5 * words.n then other_n end as form_n
+        from words left join best using (word)
+    ), chain as (
+        select word, word as root, form from formed
+        union all
+        select chain.word, formed.word, formed.form from chain join formed on chain.form = formed.word
+    )
+    select word, formed.form, root, n, n_near, form_n from formed join (select word, root from chain where form is null) using (word)
+"""
+
+# States: 0 nothing yet, 1 after s, 2 after u, 3 after a. Edit strings are carried whole.
+SQL["op13_conversation_repair"] = f"""
+    with recursive {CRC_TABLE}, base as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind
+        from conversations, crc_table
+    ), hurt as (
+        select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+            case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text
+        from base, range(case when kind = 3 then 2 else 1 end) where kind <> 0
+    ), numbered as (
+        select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+            rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+        from hurt
+    ), placed as (
+        select *, row_number() over (partition by conv_id, role, text order by i) > 1 as again from numbered
+    ), rows_ as (
+        select conv_id, turn, i, role, text, left(role, 1) as c,
+            case when body = '' then 1 when again then 2 when right(body, 1) not in ('.', '!', '?') then 3 else 0 end as fault,
+            lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair
+        from placed
+    ), stats as (
+        select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, sum((fault = 1)::int) as blank,
+            sum((fault = 2)::int) as duplicate, sum((fault = 3)::int) as truncated,
+            sum((pair is not null and pair not in ('su', 'ua', 'au'))::int) as illegal, count(*) as last
+        from rows_ group by conv_id
+    ), ahead as (
+        -- state before, insertions, state then, and the state after a row that is a user or an assistant in turn
+        select * from (values (0, '', 0, 2, 'u'), (0, 'I', 2, 3, 'a'), (0, 'II', 3, 2, 'u'), (1, '', 1, 2, 'u'), (1, 'I', 2, 3, 'a'),
+            (1, 'II', 3, 2, 'u'), (2, '', 2, 3, 'a'), (2, 'I', 3, 2, 'u'), (3, '', 3, 2, 'u'), (3, 'I', 2, 3, 'a')) t(q, ins, then_q, next_q, next_c)
+    ), ways as (
+        select conv_id, 0::bigint as i, 0 as q, {{'cost': 0::bigint, 'audit': ''}} as way from stats
+        union all
+        select conv_id, i, q, min(way) as way from (
+            select r.conv_id, r.i, e.q, {{'cost': w.way.cost + 2 * length(a.ins) + e.price, 'audit': w.way.audit || a.ins || e.edit}} as way
+            from ways w join rows_ r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1
+            join ahead a on a.q = w.q,
+            lateral (
+                select a.then_q as q, 'D' as edit, 3 as price
+                union all select a.next_q, 'K', case when r.fault = 3 then 1 else 0 end where r.fault in (0, 3) and r.c = a.next_c
+                union all select 1, 'K', case when r.fault = 3 then 1 else 0 end where r.fault in (0, 3) and r.c = 's' and a.then_q = 0
+                union all select a.next_q, 'R', case when r.fault = 3 then 3 else 2 end where r.fault in (0, 3)
+            ) e
+        ) group by conv_id, i, q
+    ), ended as (
+        select w.conv_id, min({{'cost': way.cost + 2 * length(fill), 'audit': way.audit || fill}}) as way
+        from ways w join stats s on s.conv_id is not distinct from w.conv_id and s.last = w.i
+        join (values (0, ''), (1, 'II'), (2, 'I'), (3, '')) f(q, fill) using (q) group by w.conv_id
+    ), letters as (
+        select conv_id, way.audit as audit, unnest(range(1, length(way.audit) + 1)) as k from ended
+    ), read as (
+        select conv_id, k, audit[k] as edit, length(replace(audit[:k], 'I', '')) as i, length(replace(audit[:k], 'D', '')) as said from letters
+    ), headed as (
+        select read.*, role, text, bool_or(said = 1 and edit = 'K' and role[1] = 's') over (partition by conv_id) as system
+        from (select read.*, rows_.role, rows_.text from read left join rows_
+            on rows_.conv_id is not distinct from read.conv_id and rows_.i = read.i and edit <> 'I') read
+    ), said as (
+        select conv_id, sha256(string_agg(
+            case when edit = 'K' then role when (said + (case when system then 1 else 0 end)) % 2 = 1 then 'user' else 'assistant' end
+            || ':' || case when edit = 'I' then '' else text end, chr(10) order by k)) as repaired_sha256
+        from headed where edit <> 'D' group by conv_id
+    ), ids as (select distinct conv_id from conversations)
+    select ids.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+        coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(way.cost, 0)::bigint as cost,
+        coalesce(way.audit, '') as audit, coalesce(repaired_sha256, sha256('')) as repaired_sha256
+    from ids left join stats on ids.conv_id is not distinct from stats.conv_id
+    left join ended on ids.conv_id is not distinct from ended.conv_id
+    left join said on ids.conv_id is not distinct from said.conv_id
+"""
