@@ -28,6 +28,7 @@ import heapq
 import re
 import struct
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -41,6 +42,8 @@ from evalspark.llm.words import bounded_batches, give_back
 
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 KEPT = 300_000
+# Pairs of pieces remembered.
+PAIRS = 1_000_000
 # Cut texts beyond this many characters are searched each time.
 LONG = 64
 
@@ -104,9 +107,9 @@ class Merges:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.pairs: dict[tuple[str, str], bool] = {}
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, halves: list[str] | None = None) -> list[str]:
+        """The pieces of ``text``; ``halves`` gets the two that were merged last, if all became one."""
         parts: list[str | None] = list(text)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
@@ -125,6 +128,8 @@ class Merges:
             right = after[left]
             if parts[left] is None or right >= len(parts) or parts[left] + parts[right] != both:
                 continue
+            if halves is not None:
+                halves[:] = parts[left], parts[right]
             parts[left], parts[right] = both, None
             after[left] = after[right]
             if after[right] < len(parts):
@@ -133,12 +138,42 @@ class Merges:
             offer(left)
         return [p for p in parts if p is not None]
 
+    def learn(self, usable: list[str]) -> None:
+        """The last merge of each piece, and its turn among all merges (characters: before all)."""
+        by_score = sorted(set(self.scores.values()), reverse=True)
+        turn = {score: i for i, score in enumerate(by_score)}
+        counted = Counter(score for piece, score in self.scores.items() if len(piece) > 1)
+        self.turn = {piece: turn[score] for piece, score in self.scores.items()}
+        self.tied = {piece for piece in self.scores if len(piece) > 1 and counted[self.scores[piece]] > 1}
+        self.halves: dict[str, list[str]] = {}
+        for piece in usable:
+            if len(piece) > 1:
+                self.merged(piece, halves := [])
+                self.halves[piece] = halves
+
     def apart(self, left: str, right: str) -> bool:
-        """Whether the two pieces stay as they are when their text is merged anew."""
-        if len(self.pairs) > KEPT:
-            self.pairs.clear()
-        self.pairs[left, right] = fits = self.merged(left + right) == [left, right]
-        return fits
+        """Whether the two pieces stay as they are when their text is merged anew.
+
+        Their merges are taken back from the border, the latest first: the two parts that met
+        there must not have had a merge of their own before the one taken back. Of equal pieces
+        the right one is merged later, and a merge across the border is further left than it.
+        """
+        if left in self.tied or right in self.tied:
+            return self.merged(left + right) == [left, right]
+        scores, turn, halves = self.scores, self.turn, self.halves
+        until = len(turn) + 1
+        while True:
+            both = left + right
+            if both in scores and (turn[both] < until):
+                return False
+            a = turn[left] if len(left) > 1 else -1
+            b = turn[right] if len(right) > 1 else -1
+            if a < 0 and b < 0:
+                return True
+            if a > b:
+                until, left = a, halves[left][1]
+            else:
+                until, right = b + 1, halves[right][0]
 
 
 class Encoder:
@@ -149,9 +184,13 @@ class Encoder:
         byte = {int(piece[3:5], 16): i for i, (piece, _, kind) in enumerate(pieces) if kind == BYTE}
         self.byte_ids = [byte[b] for b in range(256)]
         self.merges = Merges({piece: pieces[i][1] for piece, i in self.ids.items()})
+        # Pieces that were found to fit behind a piece, or not.
+        self.fits: dict[str | None, dict[str, bool]] = {}
+        self.n_fits = 0
         chars = {c for piece in self.ids for c in piece}
         # A piece that merging its own text does not give is never in an encoding.
         usable = [p for p in self.ids if len(p) == 1 or self.merges.merged(p) == [p]] + [c for c in chars if c not in self.ids]
+        self.merges.learn(usable)
         self.machine = ahocorasick.Automaton()
         for piece in usable:
             self.machine.add_word(piece[::-1], piece)
@@ -178,36 +217,50 @@ class Encoder:
         """Pieces (or characters without one) of a text that holds no place where it must be cut."""
         if text in self.whole:
             return [text]
-        size, shorter, pairs, apart = len(text), self.shorter, self.merges.pairs, self.merges.apart
+        size, shorter, fits = len(text), self.shorter, self.fits
         # Matches that end at a place of the reversed text come longest first: it has to be set last.
         longest = dict(list(self.machine.iter(text[::-1]))[::-1])
         taken: list[str | None] = [None]
-        failed = bytearray(size // 8 + 1)
-        at, last, piece = 0, None, longest.get(size - 1, text[0])
+        failed, any_failed = None, False
+        at, last, piece = 0, None, longest.get(size - 1) or text[0]
+        here = self.behind(None)
         while at < size:
             while piece is not None:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    if last is None:
-                        break
-                    fits = pairs.get((last, piece))
-                    if apart(last, piece) if fits is None else fits:
+                if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                    fit = here.get(piece)
+                    if fit is None:
+                        fit = here[piece] = last is None or self.merges.apart(last, piece)
+                        self.n_fits += 1
+                    if fit:
                         break
                 piece = shorter.get(piece)
             if piece is not None:
                 taken.append(piece)
                 at, last = end, piece
+                here = fits.get(last)
+                if here is None:
+                    here = self.behind(last)
                 if at < size:
-                    piece = longest.get(size - 1 - at, text[at])
+                    piece = longest.get(size - 1 - at) or text[at]
             elif last is not None:
+                if not any_failed:
+                    failed, any_failed = bytearray(size // 8 + 1), True
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(last)
                 piece = shorter.get(taken.pop())
                 last = taken[-1]
+                here = self.behind(last)
             else:
                 raise ValueError("the vocabulary's merges do not give a unique encoding")
         return taken[1:]
 
+    def behind(self, piece: str | None) -> dict[str, bool]:
+        if self.n_fits > PAIRS:
+            self.fits.clear()
+            self.n_fits = 0
+        return self.fits.setdefault(piece, {})
+
     def _found(self, text: str) -> bytes:
         pieces = self.search(text)
         try:
