@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.llm.automaton import ItemAutomaton
-from evalspark.llm.words import bounded_batches, in_slices, texts_of
+from evalspark.llm.words import bounded_batches, carrying, in_slices, texts_of
 from evalspark.session import stage
 
 WIDTH = 10
@@ -168,6 +168,7 @@ _WORD = (
 )
 
 
+@carrying("text", "n_chars")
 def cut_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the leaked stretches of ``text``; leaked for over ``max_coverage``, a row goes.
 

@@ -18,7 +18,8 @@ All randomness is hashes of ``seed``, so reruns agree. DataFrame functions only.
 
 Defined cases: null texts have size 0, and such documents are never taken; a null source is
 a source, last in order; rows that repeat an id and text are one unit of choice and are
-taken alike; without any words nothing is taken.
+taken alike; without any words nothing is taken; other columns, whatever their names, are
+carried unless they have the names of results.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evalspark.llm.words import n_words
+from evalspark.llm.words import carrying, n_words
 from evalspark.session import stage
 
 WEIGHTS = (5, 2, 1)
@@ -190,6 +191,7 @@ def shards_of_blocks(blocks: DataFrame, depth: int, seed: str, spark: SparkSessi
     return blocks.join(per_block, ["_r", "block"], "left").select("_r", "block", "rest", "shards")
 
 
+@carrying("doc_id", "source", "text", results=("size", "source_size", "target", "taken", "shards", "place"))
 def mix_plan(
     docs: DataFrame, weights: tuple = WEIGHTS, total: float = TOTAL, cap: float = CAP, seed: str = SEED,
     block_words: int = BLOCK_WORDS, block_docs: int = BLOCK_DOCS, shard_words: int = SHARD_WORDS,
@@ -213,16 +215,15 @@ def mix_plan(
     whole = F.when(F.col("size") > 0, whole).otherwise(0)
     copies = whole + F.when((F.col("size") > 0) & F.col("_cut").isNotNull(), 1).otherwise(0)
     last = F.when((F.col("size") > 0) & F.col("_cut").isNotNull(), F.array("_cut")).otherwise(F.array().cast("array<int>"))
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards", "place")]
     return met.select(
-        *keep, "size", "source_size", "target",
+        *docs.columns, "size", "source_size", "target",
         (F.col("size") * copies).cast("long").alias("taken"),
         F.concat(F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), whole.cast("int")), last).alias("shards"),
         F.xxhash64(F.lit(seed), F.lit("place"), "_u").alias("place"),
     )
 
 
-def write_shards(plan: DataFrame, path: str, depth_hint: int | None = None) -> None:
+def write_shards(plan: DataFrame, path: str) -> None:
     """Write each time a document is taken as a row, by shard and shuffled within it."""
     rows = plan.withColumn("shard", F.explode("shards"))
     rows.repartition("shard").sortWithinPartitions("shard", "place").write.partitionBy("shard").parquet(path)

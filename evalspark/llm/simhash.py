@@ -253,17 +253,3 @@ def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id"),
     )
-
-
-def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, one of rows that repeat it.
-
-    Rows without an id cannot stand for a group; they take no part and stay.
-    """
-    groups = near_groups(docs.filter("doc_id IS NOT NULL"), bucket)
-    kept = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    met = docs.join(kept, docs["doc_id"] == kept["_kept"]).select(*(docs[c] for c in docs.columns), "_rows")
-    # Only repeated ids are gathered once more.
-    single = met.filter("_rows = 1").drop("_rows")
-    again = met.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
-    return single.unionByName(again).unionByName(docs.filter("doc_id IS NULL"))

@@ -7,7 +7,7 @@ byte by byte, and of equal windows the earliest place stays.
 
 Defined cases: null texts are empty; texts under ``width`` bytes lose nothing; a null
 ``doc_id`` is after all others; rows that repeat an id and text are judged alike; other
-columns, whatever their names, are not read. Where a cut splits a character of several
+columns, whatever their names, are not read, and carried by ``without_repeats``. Where a cut splits a character of several
 bytes, ``text`` loses the rest of that character; digests are of the bytes.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from evalspark.llm import repeats
 from evalspark.llm.lyndon import suffix_array
-from evalspark.llm.words import LAST
+from evalspark.llm.words import LAST, carrying
 
 WIDTH = 100
 GRAM = 40
@@ -166,6 +166,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_by
     return decided.selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "sha AS kept_sha256")
 
 
+@carrying("doc_id", "text", "n_chars")
 def without_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` with what is left of each ``text``; documents of which no byte is left go.
 

@@ -15,8 +15,9 @@ functions only.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no rule; a
 url without a rule is allowed; rows are judged one by one, so repeats and null ids are
-kept; among rules of one length the one with the longer host wins; other columns are
-carried unless they have the names of results.
+kept; among rules of one length the one with the longer host wins; without rules all urls
+have the default verdict; other columns, whatever their names, are carried unless they have
+the names of results.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.llm.words import carrying
 from evalspark.session import stage
 
 MOST_BITS = 1 << 25
@@ -113,9 +115,12 @@ class Cascade:
         return answer
 
 
+@carrying("url", results=("host", "path", "rule", "verdict"))
 def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``; rules are ``(verdict, host + path)``."""
     spark: SparkSession = pages.sparkSession
+    if not rules:
+        return with_parts(pages).withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     table = spark.createDataFrame(rules, "verdict string, key string").withColumn("host", F.substring_index("key", "/", 1))
     labels = sorted({len(key.split("/", 1)[0].split(".")) for _, key in rules})
     lengths = sorted({len(key) - len(key.split("/", 1)[0]) for _, key in rules})
@@ -140,7 +145,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
         for i in range(len(keys))
     ]
     best = F.array_max(F.array(*told))
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return with_keys.withColumns(verdict).withColumn("_best", best).select(
-        *keep, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
+        *pages.columns, "host", "path", F.col("_best.key").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict")
     )

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,3 +95,25 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20)
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def carrying(*needed: str, results: tuple[str, ...] = ()) -> Callable:
+    """For an operator that gives its input back: it sees the columns ``needed`` only, the others
+    are packed into one, so their names cannot meet those it uses. Input columns named as
+    ``results`` give way to these."""
+
+    def wrapped(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            columns = [c for c in docs.columns if c not in results]
+            others = [c for c in columns if c not in needed]
+            packed = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None)
+            mine = [c for c in columns if c in needed]
+            out = operator(docs.select(*mine, packed.alias("_carried")), *args, **kwargs)
+            made = [F.col(c) for c in out.columns if c not in (*mine, "_carried")]
+            back = (F.col(c) if c in mine else F.col("_carried").getField(c).alias(c) for c in columns)
+            return out.select(*back, *made)
+
+        return run
+
+    return wrapped

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evalspark.llm import chat, decontaminate, mixing, repeats, rules, simhash, suffixdedup, tokencount, toxicity, urlfilter
+from evalspark.llm import chat, decontaminate, mixing, repeats, rules, similar, simhash, suffixdedup, tokencount, toxicity, urlfilter
 from evalspark.llm.lyndon import suffix_array
 from evalspark.llm.substring import substring_dedup
 
@@ -179,8 +179,6 @@ def test_simhash(docs, rows, bucket):
                 x, y = sorted((root(a), root(b)), key=order)
                 parent[y] = x
     assert by_id(simhash.near_groups(docs, bucket)) == {d: (f"{fps[d]:016x}", root(d)) for d in fps}
-    kept = {r.doc_id for r in simhash.one_of_each(docs, bucket).collect()}
-    assert kept == {root(d) for d in fps} | {None}
 
 
 def test_chat(spark):
@@ -307,7 +305,7 @@ def test_empty_tables(spark, none):
     assert decontaminate.report(none, items).count() == 0
     assert substring_dedup(none).count() == suffixdedup.suffix_dedup(none).count() == 0
     assert suffixdedup.without_repeats(none).count() == simhash.near_groups(none).count() == 0
-    assert simhash.one_of_each(none).count() == mixing.mix_plan(none).count() == 0
+    assert similar.one_of_each_group(none).count() == mixing.mix_plan(none).count() == 0
     assert rules.report(none).count() == tokencount.token_counts(none).count() == 0
     assert toxicity.report(none, labels).count() == toxicity.without_toxic(none, labels).count() == 0
     assert chat.report(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
@@ -318,6 +316,6 @@ def test_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(40))
     twice = spark.createDataFrame([(1, text, "a")] * 2 + [(2, text, "a")], "doc_id bigint, text string, source string")
     assert sorted((r.doc_id, r.n_removed) for r in substring_dedup(twice).collect()) == [(1, 0), (1, 0), (2, 40)]
-    assert sorted(r.doc_id for r in simhash.one_of_each(twice).collect()) == [1]
+    assert sorted(r.doc_id for r in similar.one_of_each_group(twice).collect()) == [1]
     assert suffixdedup.without_repeats(twice).count() == 2
     assert mixing.mix_plan(twice).count() == 3
