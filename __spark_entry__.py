@@ -287,6 +287,19 @@ def q_topk_text(spark, folder):
     return hits(spark, folder).drop("experiment")
 
 
+def odd_items(spark: SparkSession, folder: str) -> DataFrame:
+    """All questions, and each once more with vowels replaced: most of its words are unknown then."""
+    asked = items(spark, folder).select("qid", "question")
+    strange = asked.select((F.col("qid") + 1_000_000).alias("qid"), F.translate("question", "aeiou", "xqxqx").alias("question"))
+    return asked.unionByName(strange)
+
+
+def q_topk_text_postings(spark, folder):
+    settings = SETTINGS.variant({"retriever.backend": "postings"})
+    found = load_or_build_index(documents(spark, folder), [(chunking.BASE, settings)], **saved(spark, folder))
+    return rag.retrieve(odd_items(spark, folder), found, settings).drop("experiment")
+
+
 def q_mmr_text(spark, folder):
     return hits(spark, folder, SETTINGS.variant({"retriever.search_type": "mmr"})).drop("experiment")
 

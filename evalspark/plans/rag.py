@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from evalspark import hooks
 from evalspark.operators import answering, metrics
 from evalspark.operators.chunking import BASE, with_chunk_index
-from evalspark.operators.embedding import Embed, embed_with
+from evalspark.operators.embedding import TFIDF, Embed, embed_with
 from evalspark.operators.mmr import mmr
+from evalspark.operators.postings import fill_up, topk_postings
 from evalspark.operators.textsearch import CHUNK, topk_chunks
 from evalspark.session import stage
 from evalspark.settings import Settings
@@ -21,12 +22,27 @@ def embed_for(index: Index, settings: Settings) -> Embed:
     return embed_with(settings, index.terms, index.experiments)
 
 
+def nearest(questions: DataFrame, index: Index, settings: Settings, k: int) -> DataFrame:
+    """The top ``k`` of every question by the backend of the settings; word searches are filled up
+    to ``k`` with chunks that share no word."""
+    asked = embed_for(index, settings)(questions, ["qid"], "question")
+    if settings.search_backend == "postings":
+        if index.postings is None:
+            raise ValueError("this index was built without postings: build it with these settings")
+        found = topk_postings(asked, index.postings, k)
+    else:
+        found = topk_chunks(asked, index.vectors, k)
+    if settings.embedding_provider != TFIDF:
+        return found
+    every = questions.select(F.explode(F.array(*map(F.lit, index.experiments))).alias("experiment"), "qid")
+    return fill_up(found, every, index.chunks, index.offsets, k)
+
+
 def retrieve(questions: DataFrame, index: Index, settings: Settings) -> DataFrame:
     """``experiment, qid, rank, doc_id, pos, sim`` under every experiment of the index."""
-    asked = embed_for(index, settings)(questions, ["qid"], "question")
     if settings.search_type == "similarity":
-        return topk_chunks(asked, index.vectors, settings.k)
-    pool = topk_chunks(asked, index.vectors, settings.fetch_k).withColumnRenamed("experiment", "cell")
+        return nearest(questions, index, settings, settings.k)
+    pool = nearest(questions, index, settings, settings.fetch_k).withColumnRenamed("experiment", "cell")
     vectors = index.vectors.withColumnRenamed("experiment", "cell")
     chosen = mmr(stage(pool, pool.sparkSession), vectors, ["doc_id", "pos"], settings.k, settings.lambda_mult)
     return chosen.withColumnRenamed("cell", "experiment")

@@ -10,6 +10,7 @@ SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
 SEARCH_TYPES = ("similarity", "mmr")
 SPLITTERS = ("recursive", "windows")
+SEARCH_BACKENDS = ("scan", "postings")
 CHUNK_SIZES = (256, 512, 1024)
 K_VALUES = (2, 4, 6, 8)
 # Dotted setting names and the field each one sets.
@@ -23,6 +24,7 @@ DOTTED = {
     "retriever.search_type": "search_type",
     "retriever.fetch_k": "fetch_k",
     "retriever.lambda_mult": "lambda_mult",
+    "retriever.backend": "search_backend",
     "llm.provider": "llm_provider",
     "llm.model_name": "llm_model",
     "llm.temperature": "temperature",
@@ -45,6 +47,7 @@ class Settings:
     search_type: str = "similarity"
     fetch_k: int = 20
     lambda_mult: float = 0.5
+    search_backend: str = "scan"
     llm_provider: str = "extractive"
     llm_model: str = "extractive"
     temperature: float = 0.0
@@ -66,6 +69,8 @@ class Settings:
             raise ValueError(
                 f"Unknown search_type: '{self.search_type}'. Expected 'similarity' or 'mmr'."
             )
+        if self.search_backend not in SEARCH_BACKENDS:
+            raise ValueError(f"Unknown search backend: '{self.search_backend}'. Known: {SEARCH_BACKENDS}")
         if self.splitter not in SPLITTERS:
             raise ValueError(f"Unknown splitter: '{self.splitter}'")
 

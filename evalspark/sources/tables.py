@@ -18,6 +18,7 @@ from evalspark.functions.vectors import as_double, normalize
 from evalspark.operators import cache as cache_ops
 from evalspark.operators.chunking import chunk_offsets, chunk_recursive, chunk_windows
 from evalspark.operators.embedding import TFIDF
+from evalspark.operators.postings import build_postings
 from evalspark.operators.textsearch import CHUNK, term_counts, term_table, unit_vectors, weigh
 from evalspark.session import shared_dir, spread
 from evalspark.settings import Settings
@@ -26,6 +27,8 @@ CHUNK_METADATA = ("source", "filename", "file_type", "char_count", "chunk_index"
 # Part of the fingerprint; raise it when the tables of an index change.
 FORMAT = 1
 INDEX_TABLES = ("chunks", "terms", "vectors", "offsets")
+# Only where the settings search by it.
+POSTINGS = "postings"
 # Written last, so an index without it is unfinished.
 DONE = "done"
 
@@ -84,6 +87,7 @@ class Index:
     vectors: DataFrame
     offsets: DataFrame
     experiments: tuple[str, ...]
+    postings: DataFrame | None = None
 
 
 def text_mark(docs: DataFrame) -> str:
@@ -105,6 +109,7 @@ def fingerprint(corpus: str, runs: Sequence[tuple[str, Settings]]) -> str:
     """Changes with the corpus and with any setting that shapes the index."""
     shape = [
         (name, s.chunk_size, s.chunk_overlap, s.splitter, s.separators, s.embedding_provider, s.embedding_model)
+        + ((s.search_backend,) if s.search_backend != "scan" else ())
         for name, s in runs
     ]
     return hashlib.sha256(json.dumps([FORMAT, corpus, shape]).encode()).hexdigest()
@@ -115,7 +120,8 @@ def load_index(spark: SparkSession, root: str, mark: str, experiments: Sequence[
     folder = f"{root}/{mark}"
     if not exists(spark, f"{folder}/{DONE}"):
         return None
-    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES], tuple(experiments))
+    postings = spark.read.parquet(f"{folder}/{POSTINGS}") if exists(spark, f"{folder}/{POSTINGS}") else None
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES], tuple(experiments), postings)
 
 
 def cached_vectors(chunks: DataFrame, settings: Settings, path: str) -> DataFrame:
@@ -161,8 +167,13 @@ def build_index(docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str
     else:
         vectors = save(cached_vectors(chunks, runs[0][1], f"{root}/cache"), "vectors")
     offsets = save(chunk_offsets(chunks), "offsets")
+    postings = None
+    if any(s.search_backend == POSTINGS for _, s in runs):
+        if provider != TFIDF:
+            raise ValueError("postings are of words: they need the tfidf embedding")
+        postings = save(build_postings(vectors, offsets), POSTINGS)
     save(spark.range(1), DONE)
-    return Index(chunks, terms, vectors, offsets, tuple(name for name, _ in runs))
+    return Index(chunks, terms, vectors, offsets, tuple(name for name, _ in runs), postings)
 
 
 def load_or_build_index(

@@ -120,6 +120,19 @@ def search(runs=BASE, k: int = 4) -> str:
     )
 
 
+def search_all(k: int = 4) -> str:
+    """Every chunk has a score, 0 where no word is shared; questions also with vowels replaced."""
+    found = search().split(", hits as materialized")[0].replace(
+        "from benchmark)",
+        "from benchmark union all select item_id + 1000000, translate(text, 'aeiou', 'xqxqx'), text from benchmark)", 1
+    )
+    return (
+        f"{found}, every as (select qid, doc_id, pos, coalesce(sim, 0) as sim from items cross join chunks "
+        "left join scored using (qid, doc_id, pos)) select qid, rank::int as rank, doc_id, pos, sim from (select *, row_number() "
+        f"over (partition by qid order by sim desc, doc_id, pos) as rank from every) where rank <= {k}"
+    )
+
+
 def records(runs=BASE, ks=(4,)) -> str:
     """Records per experiment; several k give one experiment each."""
     if len(ks) > 1:
@@ -328,6 +341,7 @@ def sql() -> dict[str, str]:
             "sum(p.w * q.w) as s from pw p join pw q using (qid, term) group by all) d on d.qid = x.qid and ra = x.rank and rb = y.rank), "
             + mmr("hits", "doc_id, pos")
         ),
+        "topk_text_postings": f"with {search_all()}",
         "topk_text": f"with {search()} select qid, rank, doc_id, pos, sim from hits",
         "contexts_by_query": (
             f"with {search()} select qid, string_agg(chunk_text, {lit(answering.CONTEXT_BREAK)} order by rank) as contexts, "

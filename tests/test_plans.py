@@ -46,7 +46,9 @@ def test_answers(corpus, questions, tmp_path):
     rag = Rag(SMALL).build(corpus, str(tmp_path))
     rows = {r.qid: r for r in rag.batch_query(questions).collect()}
     assert rows[0].answer == "Cats purr when they are happy" and rows[0].source_documents[0].filename == "file0.txt"
-    assert rows[2].answer == answering.REFUSAL and rows[2].contexts == []
+    # Nothing is known of this question: it has k contexts all the same, and none answers it.
+    assert rows[2].answer == answering.REFUSAL and len(rows[2].contexts) == SMALL.k
+    assert [d.sim for d in rows[2].source_documents] == [0.0] * SMALL.k
     assert all(len(r.contexts) <= 2 for r in rows.values())
     for document in (d for r in rows.values() for d in r.source_documents):
         before = rag.index.chunks.filter(f"doc_id < {document.doc_id}").count()
