@@ -382,6 +382,32 @@ def q_eval_records(spark, folder):
     return shaped.withColumn("retrieved_contexts", answering.context_block(F.col("retrieved_contexts")))
 
 
+def repeat_words(options: hooks.ChatOptions):
+    """A small chat: the settings and the first words of the question; some prompts fail once, some always."""
+    failed = set()
+
+    def ask(system: str, human: str) -> str:
+        question = human.split(answering.BEFORE_QUESTION)[-1].removesuffix(answering.AFTER_QUESTION)
+        if len(question) % 7 == 0 or len(question) % 5 == 0 and question not in failed:
+            failed.add(question)
+            raise OSError("busy")
+        words = question.split(" ")[: options.max_tokens]
+        return f"{options.model} {options.temperature:.2f} {len(human)}: {' '.join(words)}"
+
+    return ask
+
+
+hooks.register_chat("repeat_words", repeat_words)
+
+
+def q_written_answers(spark, folder):
+    """Answers of a registered chat, several prompts in flight, with the settings of the run."""
+    chat = {"llm.provider": "repeat_words", "llm.model_name": "small", "llm.temperature": 0.25, "llm.max_tokens": 4}
+    return rag.answer_all(
+        items(spark, folder), hits_with_text(spark, folder), [chunking.BASE], SETTINGS.variant(chat)
+    ).select("qid", "answer", "error")
+
+
 # Metrics
 
 

@@ -63,13 +63,18 @@ def with_text(hits: DataFrame, index: Index, numbered: bool = False) -> DataFram
 
 
 def answer(answerable: DataFrame, settings: Settings) -> DataFrame:
-    """Add ``answer``, by the built-in extraction or by a registered writer."""
+    """Add ``answer``, by the built-in extraction or by a registered writer with the model, temperature
+    and length of the settings. A chat adds ``error`` too: why a question has no answer."""
     if settings.llm_provider == "extractive":
         answers = answering.extractive_answers(answerable, settings.answer_threshold)
     else:
         prompts = answering.prompts(answerable).select(*answering.QUESTION, "system", "human")
-        answers = hooks.writer(settings.llm_provider)(prompts).select(
-            *answering.QUESTION, answering.strip(F.col("answer")).alias("answer")
+        options = hooks.ChatOptions(settings.llm_model, settings.temperature, settings.max_tokens)
+        written = hooks.writer(settings.llm_provider, options)(prompts)
+        kept = ["error"] if "error" in written.columns else []
+        # Read twice below, and answers cost money.
+        answers = stage(written, written.sparkSession).select(
+            *answering.QUESTION, answering.strip(F.col("answer")).alias("answer"), *kept
         )
     return answerable.join(answers, answering.QUESTION)
 

@@ -1,9 +1,12 @@
 import json
+import threading
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark import hooks
 from evalspark.operators import answering, metrics
@@ -212,3 +215,78 @@ def test_stream(spark, corpus, tmp_path):
     keys = tables.load_cache(spark, store).select("model", "text_sha")
     assert keys.distinct().count() == second
     assert run() == second
+
+
+# Chats
+
+
+def options_of(options):
+    return lambda system, human: f"{options.model} {options.temperature} {options.max_tokens}"
+
+
+hooks.register_chat("told", options_of)
+hooks.register_writer("told_batch", lambda system, human, options: human.str.slice(0, 3) + options.model)
+
+
+def test_settings_reach_the_model(corpus, questions, tmp_path):
+    asked = {"llm.model_name": "big", "llm.temperature": 0.5, "llm.max_tokens": 7}
+    for provider, answer in (("told", "big 0.5 7"), ("told_batch", "Conbig")):
+        rag = Rag(SMALL.variant({"llm.provider": provider, **asked})).build(corpus, str(tmp_path))
+        assert {r.answer for r in rag.batch_query(questions).collect()} == {answer}
+
+
+def numbered(n):
+    return [(str(i), f"prompt {i}") for i in range(n)]
+
+
+def test_calls_are_bounded_repeated_and_in_order():
+    running, most, tries = [0], [0], {}
+    lock = threading.Lock()
+
+    def ask(system, human):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+            tries[system] = tries.get(system, 0) + 1
+        try:
+            time.sleep(0.002 * (int(system) % 5))
+            if int(system) % 3 == 0 and tries[system] < 2 or int(system) % 10 == 9:
+                raise OSError("busy")
+            return human.upper()
+        finally:
+            with lock:
+                running[0] -= 1
+
+    options = hooks.ChatOptions(in_flight=4, attempts=3)
+    frame = pd.DataFrame(numbered(100), columns=["system", "human"])
+    out = pd.concat(answers_of(lambda _: ask, options, [frame[:60], frame[60:], frame[:0]]))
+    assert len(out) == 100 and 1 < most[0] <= 4
+    for i, (answer, error) in enumerate(zip(out["answer"], out["error"])):
+        assert (answer, error) == ((None, "OSError: busy") if i % 10 == 9 else (f"PROMPT {i}", None))
+    assert all(tries[str(i)] == (3 if i % 10 == 9 else 2 if i % 3 == 0 else 1) for i in range(100))
+
+
+def test_a_hanging_call_is_a_timeout_row():
+    def ask(system, human):
+        time.sleep(30 if int(system) in (3, 4) else 0)
+        return "ok"
+
+    options = hooks.ChatOptions(in_flight=2, timeout=0.3, attempts=1)
+    start = time.time()
+    (out,) = answers_of(lambda _: ask, options, [pd.DataFrame(numbered(12), columns=["system", "human"])])
+    assert time.time() - start < 10
+    assert [i for i, e in enumerate(out["error"]) if e == "timeout"] == [3, 4]
+    assert list(out["answer"]).count("ok") == 10
+
+
+def answers_of(make_ask, options, frames):
+    """The task's side of a chat, without Spark."""
+
+    class Prompts:
+        schema = T.StructType([])
+
+        @staticmethod
+        def mapInPandas(answer, _):
+            return list(answer(iter(frames)))
+
+    return hooks.chat_writer(make_ask, options)(Prompts)
