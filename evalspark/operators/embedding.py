@@ -11,6 +11,7 @@ from evalspark import hooks
 from evalspark.functions.vectors import as_double, normalize
 from evalspark.operators.cache import KEY, keyed
 from evalspark.operators.textsearch import text_vectors
+from evalspark.session import stage
 from evalspark.settings import Settings
 
 TFIDF = "tfidf"
@@ -18,8 +19,13 @@ TFIDF = "tfidf"
 Embed = Callable[[DataFrame, list[str], str], DataFrame]
 
 
-def embed_with(settings: Settings, terms: DataFrame, experiments: Sequence[str]) -> Embed:
-    """How texts of a run become vectors, under each of its experiments."""
+def embed_with(
+    settings: Settings, terms: DataFrame, experiments: Sequence[str], cached: Callable[[DataFrame], DataFrame] | None = None
+) -> Embed:
+    """How texts of a run become vectors, under each of its experiments.
+
+    ``cached`` gives ``model, text_sha, embedding`` of a table of texts, and embeds only those it lacks.
+    """
     if settings.embedding_provider == TFIDF:
         return lambda texts, keys, text: text_vectors(texts, keys, text, terms)
     embed = hooks.embedder(settings.embedding_provider, model=settings.embedding_model)
@@ -29,7 +35,8 @@ def embed_with(settings: Settings, terms: DataFrame, experiments: Sequence[str])
             texts = texts.withColumn("experiment", F.explode(F.array(*map(F.lit, experiments))))
         marked = keyed(texts, settings.embedding_model, text)
         once = marked.select(*KEY, F.col(text).alias("text")).dropDuplicates(KEY)
-        return marked.join(embed(once).select(*KEY, "embedding"), KEY).select(
+        vectors = cached(stage(once, once.sparkSession)) if cached else embed(once)
+        return marked.join(vectors.select(*KEY, "embedding"), KEY).select(
             "experiment", *keys, normalize(as_double(F.col("embedding"))).alias("vector")
         )
 

@@ -16,10 +16,12 @@ from evalspark.operators.postings import fill_up, topk_postings
 from evalspark.operators.textsearch import CHUNK, topk_chunks
 from evalspark.session import stage
 from evalspark.settings import Settings
-from evalspark.sources.tables import Index, load_or_build_index
+from evalspark.sources.tables import Index, load_or_build_index, through_cache
 
 def embed_for(index: Index, settings: Settings) -> Embed:
-    return embed_with(settings, index.terms, index.experiments)
+    """Questions, answers and claims go through the cache of the index, as its chunks did."""
+    cached = (lambda texts: through_cache(texts, "text", settings, index.cache)) if index.cache else None
+    return embed_with(settings, index.terms, index.experiments, cached)
 
 
 def nearest(questions: DataFrame, index: Index, settings: Settings, k: int) -> DataFrame:

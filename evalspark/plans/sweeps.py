@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark import hooks
 from evalspark.functions.scores import fixed, metric_label
 from evalspark.operators import metrics
 from evalspark.operators.answering import QUESTION
@@ -15,7 +16,7 @@ from evalspark.operators.embedding import embed_with
 from evalspark.plans.rag import answer_all, retrieve, score, with_text
 from evalspark.session import stage
 from evalspark.settings import CHUNK_SIZES, K_VALUES, METRICS, Settings, sweep_overlap
-from evalspark.sources.tables import load_or_build_index
+from evalspark.sources.tables import load_or_build_index, through_cache
 
 SWEPT = ("chunk_size", "chunk_overlap", "k", "search_type", "fetch_k", "lambda_mult")
 
@@ -72,14 +73,15 @@ def labelled(table: DataFrame, variants: Sequence[dict]) -> DataFrame:
 
 
 def chunk_size_scores(
-    docs: DataFrame, items: DataFrame, base: Settings, sizes: Sequence[int] = CHUNK_SIZES, root: str | None = None, corpus: str | None = None
+    docs: DataFrame, items: DataFrame, base: Settings, sizes: Sequence[int] = CHUNK_SIZES, root: str | None = None, corpus: str | None = None,
+    judge: str | None = None,
 ) -> DataFrame:
     """Scores of every chunk size. All sizes are cut in one scan and searched in one job."""
     variants = chunk_size_variants(sizes)
     runs = [(v["experiment"], base.variant(v["overrides"])) for v in variants]
     index = load_or_build_index(docs, runs, root, corpus=corpus)
     hits = with_text(retrieve(items, index, base), index)
-    return score(answer_all(items, hits, [name for name, _ in runs], base), index, base)
+    return score(answer_all(items, hits, [name for name, _ in runs], base), index, base, judge)
 
 
 def hits_by_k(hits: DataFrame, k_column: Column) -> DataFrame:
@@ -93,7 +95,8 @@ def hits_by_k(hits: DataFrame, k_column: Column) -> DataFrame:
 
 
 def k_scores(
-    docs: DataFrame, items: DataFrame, base: Settings, values: Sequence[int] = K_VALUES, root: str | None = None, corpus: str | None = None
+    docs: DataFrame, items: DataFrame, base: Settings, values: Sequence[int] = K_VALUES, root: str | None = None, corpus: str | None = None,
+    judge: str | None = None,
 ) -> DataFrame:
     """Scores of every k, from one index and one search at the largest k.
 
@@ -109,8 +112,9 @@ def k_scores(
         "experiment", F.explode(F.array(*map(F.lit, names)))
     )
     records = stage(answer_all(items, by_k, names, base), docs.sparkSession)
-    embed = embed_with(base, shared, names)
-    return metrics.score_long(records, embed, base.metrics, share=base.support_threshold)
+    cached = (lambda texts: through_cache(texts, "text", base, index.cache)) if index.cache else None
+    embed = embed_with(base, shared, names, cached)
+    return metrics.score_long(records, embed, base.metrics, hooks.judge(judge) if judge else None, base.support_threshold)
 
 
 def embedding_variants(models: Sequence[dict]) -> list[dict]:
@@ -127,7 +131,8 @@ def embedding_variants(models: Sequence[dict]) -> list[dict]:
 
 
 def embedding_scores(
-    docs: DataFrame, items: DataFrame, base: Settings, models: Sequence[dict], root: str | None = None, corpus: str | None = None
+    docs: DataFrame, items: DataFrame, base: Settings, models: Sequence[dict], root: str | None = None, corpus: str | None = None,
+    judge: str | None = None,
 ) -> DataFrame:
     """Scores of every embedding model; each model has an index of its own."""
     scores = []
@@ -135,7 +140,7 @@ def embedding_scores(
         settings = base.variant(v["overrides"])
         index = load_or_build_index(docs, [(v["experiment"], settings)], root, corpus=corpus)
         hits = with_text(retrieve(items, index, settings), index)
-        scores.append(score(answer_all(items, hits, index.experiments, settings), index, settings))
+        scores.append(score(answer_all(items, hits, index.experiments, settings), index, settings, judge))
     return reduce(DataFrame.unionByName, scores)
 
 

@@ -88,6 +88,8 @@ class Index:
     offsets: DataFrame
     experiments: tuple[str, ...]
     postings: DataFrame | None = None
+    # Folder of the embedding cache that the index was made with.
+    cache: str | None = None
 
 
 def text_mark(docs: DataFrame) -> str:
@@ -115,23 +117,33 @@ def fingerprint(corpus: str, runs: Sequence[tuple[str, Settings]]) -> str:
     return hashlib.sha256(json.dumps([FORMAT, corpus, shape]).encode()).hexdigest()
 
 
-def load_index(spark: SparkSession, root: str, mark: str, experiments: Sequence[str]) -> Index | None:
+def cache_folder(root: str, settings: Settings) -> str | None:
+    return None if settings.embedding_provider == TFIDF else f"{root}/cache"
+
+
+def load_index(spark: SparkSession, root: str, mark: str, experiments: Sequence[str], cache: str | None = None) -> Index | None:
     """The index saved under this fingerprint, or None."""
     folder = f"{root}/{mark}"
     if not exists(spark, f"{folder}/{DONE}"):
         return None
     postings = spark.read.parquet(f"{folder}/{POSTINGS}") if exists(spark, f"{folder}/{POSTINGS}") else None
-    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES], tuple(experiments), postings)
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in INDEX_TABLES], tuple(experiments), postings, cache)
+
+
+def through_cache(texts: DataFrame, text: str, settings: Settings, path: str) -> DataFrame:
+    """``model, text_sha, embedding`` of all of ``texts(model, text_sha, text)``, and more; those
+    that the cache lacks are embedded and added to it now."""
+    spark = texts.sparkSession
+    misses = cache_ops.cache_misses(texts, load_cache(spark, path), text)
+    append_cache(hooks.embedder(settings.embedding_provider, text, model=settings.embedding_model)(misses), path)
+    return load_cache(spark, path)
 
 
 def cached_vectors(chunks: DataFrame, settings: Settings, path: str) -> DataFrame:
     """Chunk vectors of a registered model; only texts that the cache lacks are embedded."""
-    spark = chunks.sparkSession
     texts = cache_ops.keyed(chunks, settings.embedding_model, "chunk_text")
-    misses = cache_ops.cache_misses(texts, load_cache(spark, path), "chunk_text")
-    append_cache(hooks.embedder(settings.embedding_provider, "chunk_text", model=settings.embedding_model)(misses), path)
     # Chunks of one text share one cache row, so AQE can split the side of the chunks.
-    return texts.select(*CHUNK, *cache_ops.KEY).join(load_cache(spark, path), cache_ops.KEY).select(
+    return texts.select(*CHUNK, *cache_ops.KEY).join(through_cache(texts, "chunk_text", settings, path), cache_ops.KEY).select(
         *CHUNK, normalize(as_double(F.col("embedding"))).alias("vector")
     )
 
@@ -165,7 +177,7 @@ def build_index(docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str
         weighed = weigh(term_counts(spread(chunks)), terms, terms.count())
         vectors = save(unit_vectors(weighed, ["doc_id", "pos"]), "vectors")
     else:
-        vectors = save(cached_vectors(chunks, runs[0][1], f"{root}/cache"), "vectors")
+        vectors = save(cached_vectors(chunks, runs[0][1], cache_folder(root, runs[0][1])), "vectors")
     offsets = save(chunk_offsets(chunks), "offsets")
     postings = None
     if any(s.search_backend == POSTINGS for _, s in runs):
@@ -173,7 +185,7 @@ def build_index(docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str
             raise ValueError("postings are of words: they need the tfidf embedding")
         postings = save(build_postings(vectors, offsets), POSTINGS)
     save(spark.range(1), DONE)
-    return Index(chunks, terms, vectors, offsets, tuple(name for name, _ in runs), postings)
+    return Index(chunks, terms, vectors, offsets, tuple(name for name, _ in runs), postings, cache_folder(root, runs[0][1]))
 
 
 def load_or_build_index(
@@ -191,7 +203,7 @@ def load_or_build_index(
     spark = docs.sparkSession
     root = root or f"{shared_dir(spark)}/index"
     mark = fingerprint(corpus or text_mark(docs), runs)
-    found = None if rebuild else load_index(spark, root, mark, [name for name, _ in runs])
+    found = None if rebuild else load_index(spark, root, mark, [name for name, _ in runs], cache_folder(root, runs[0][1]))
     return found or build_index(docs, runs, root, mark)
 
 

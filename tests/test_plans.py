@@ -290,3 +290,40 @@ def answers_of(make_ask, options, frames):
             return list(answer(iter(frames)))
 
     return hooks.chat_writer(make_ask, options)(Prompts)
+
+
+def logged_letters(model):
+    """Vectors of letters; each embedded text is noted in the file that the model names."""
+
+    def predict(texts):
+        with open(model, "a") as file:
+            file.writelines(json.dumps(t) + "\n" for t in texts)
+        return np.array([[t.lower().count(c) for c in "aeiou"] for t in texts], np.float32)
+
+    return predict
+
+
+hooks.register_embedder("logged", logged_letters)
+hooks.register_judge("never", lambda claim, context: pd.Series([False] * len(claim)))
+
+
+def test_questions_and_claims_go_through_the_cache(corpus, questions, tmp_path):
+    log = tmp_path / "embedded"
+    model = {"embedding.provider": "logged", "embedding.model_name": str(log)}
+    rag = Rag(SMALL.variant(model)).build(corpus, str(tmp_path / "index"))
+    first = {r.qid: r.answer_relevancy for r in rag.evaluate(questions)[1].collect()}
+    texts = [json.loads(line) for line in log.read_text().splitlines()]
+    assert len(texts) == len(set(texts)) and {r.question for r in questions.collect()} <= set(texts)
+    again = Rag(rag.settings).build(corpus, str(tmp_path / "index"))
+    assert {r.qid: r.answer_relevancy for r in again.evaluate(questions)[1].collect()} == first
+    assert len(log.read_text().splitlines()) == len(texts)
+    more = sweeps.k_scores(corpus, questions, rag.settings, (1, 2), str(tmp_path / "index"))
+    assert more.count() == 2 * 4 * questions.count()
+
+
+def test_judge_in_sweeps(corpus, questions, tmp_path):
+    scores = sweeps.k_scores(corpus, questions, SMALL, (1, 2), str(tmp_path), judge="never")
+    got = {(r.metric, r.score) for r in scores.filter("metric IN ('faithfulness', 'context_recall', 'context_precision')").collect()}
+    assert {s for _, s in got} == {0.0}
+    by_size = sweeps.chunk_size_scores(corpus, questions, SMALL, (40, 60), str(tmp_path), judge="never")
+    assert {r.score for r in by_size.filter("metric = 'context_recall'").collect()} == {0.0}
