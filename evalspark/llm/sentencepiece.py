@@ -334,6 +334,16 @@ def lenient(data: bytes) -> str:
     return "".join(out)
 
 
+def lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """Its lists, null as empty, without an object per value in between."""
+    if column.null_count:
+        yield from (x or [] for x in column.to_pylist())
+        return
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield values[a:b].tolist()
+
+
 # The encoder of a worker process, kept between its tasks.
 _LAST: list = [None, None]
 
@@ -379,7 +389,7 @@ def decode(coded: DataFrame, ids: str = "ids", out: str = "decoded", path: str =
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(pieces.value)
         for batch in found:
-            column = pa.array([coder.decode(x or []) for x in batch.column(at).to_pylist()], pa.string())
+            column = pa.array([coder.decode(x) for x in lists(batch.column(at))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, out])
         give_back()
 
