@@ -35,20 +35,43 @@ def term_counts(chunks: DataFrame) -> DataFrame:
     )
 
 
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """``experiment, doc_id, pos, words array<struct<term,tf>>``, sorted; chunks without words have no row.
+
+    The words of a chunk, so as bounded as its text.
+    """
+    words = F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("words")
+    return term_counts(chunks).groupBy(*CHUNK).agg(words)
+
+
+def words_counted(words: DataFrame) -> DataFrame:
+    """Words of chunks as the rows of ``term_counts``."""
+    return words.select(*CHUNK, F.inline("words"))
+
+
+def chunk_frequency(words: DataFrame) -> DataFrame:
+    """``experiment, term, df``: chunks that hold the term."""
+    return words.select("experiment", F.explode("words.term").alias("term")).groupBy("experiment", "term").agg(
+        F.count("*").alias("df")
+    )
+
+
+def with_idf(frequency: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``experiment, term, df, n_chunks, idf``, smoothed."""
+    n_chunks = chunks.groupBy("experiment").agg(F.count("*").alias("n_chunks"))
+    # One row per experiment, and experiments are the settings of a sweep.
+    return frequency.join(F.broadcast(n_chunks), "experiment").withColumn(
+        "idf", F.ln((1 + F.col("n_chunks")) / (1 + F.col("df"))) + 1
+    )
+
+
 def term_table(chunks: DataFrame) -> DataFrame:
     """Document frequency and smoothed inverse document frequency of each term.
 
     Each chunk gives its distinct terms once, so the count needs no counts per chunk.
     """
     words = chunks.select("experiment", F.explode(F.array_distinct(tokens(F.col("chunk_text")))).alias("term"))
-    n_chunks = chunks.groupBy("experiment").agg(F.count("*").alias("n_chunks"))
-    # One row per experiment, and experiments are the settings of a sweep.
-    return (
-        words.groupBy("experiment", "term")
-        .agg(F.count("*").alias("df"))
-        .join(F.broadcast(n_chunks), "experiment")
-        .withColumn("idf", F.ln((1 + F.col("n_chunks")) / (1 + F.col("df"))) + 1)
-    )
+    return with_idf(words.groupBy("experiment", "term").agg(F.count("*").alias("df")), chunks)
 
 
 def weigh(counts: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:

@@ -11,6 +11,7 @@ from evalspark import hooks
 from evalspark.operators import answering, metrics
 from evalspark.operators.chunking import BASE, with_chunk_index
 from evalspark.operators.embedding import TFIDF, Embed, embed_with
+from evalspark.operators.lookups import covering_ranges, narrowed
 from evalspark.operators.mmr import mmr
 from evalspark.operators.postings import fill_up, topk_postings
 from evalspark.operators.textsearch import CHUNK, topk_chunks
@@ -45,8 +46,9 @@ def retrieve(questions: DataFrame, index: Index, settings: Settings) -> DataFram
     if settings.search_type == "similarity":
         return nearest(questions, index, settings, settings.k)
     pool = nearest(questions, index, settings, settings.fetch_k).withColumnRenamed("experiment", "cell")
-    vectors = index.vectors.withColumnRenamed("experiment", "cell")
-    chosen = mmr(stage(pool, pool.sparkSession), vectors, ["doc_id", "pos"], settings.k, settings.lambda_mult)
+    pool = stage(pool, pool.sparkSession)
+    vectors = narrowed(index.vectors, covering_ranges(pool)).withColumnRenamed("experiment", "cell")
+    chosen = mmr(pool, vectors, ["doc_id", "pos"], settings.k, settings.lambda_mult)
     return chosen.withColumnRenamed("cell", "experiment")
 
 
@@ -54,13 +56,15 @@ def with_text(hits: DataFrame, index: Index, numbered: bool = False) -> DataFram
     """Add text and file name of the chunks that were hit, and on request ``chunk_index``.
 
     Hits are few and staged, so Spark sees their size and leaves the big tables in
-    place. Each big table meets the hits on its own for that reason.
+    place. Each big table meets the hits on its own for that reason, and its scan skips what
+    lies outside the ranges of their ids.
     """
     hits = stage(hits, hits.sparkSession)
-    found = hits.join(index.chunks.select(*CHUNK, "filename", "chunk_text"), CHUNK)
+    ranges = covering_ranges(hits)
+    found = hits.join(narrowed(index.chunks, ranges).select(*CHUNK, "filename", "chunk_text"), CHUNK)
     if not numbered:
         return found
-    numbers = with_chunk_index(hits.select(*CHUNK), index.offsets).distinct()
+    numbers = with_chunk_index(hits.select(*CHUNK), narrowed(index.offsets, ranges)).distinct()
     return found.join(numbers, CHUNK)
 
 

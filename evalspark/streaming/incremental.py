@@ -1,8 +1,8 @@
-"""New documents as they arrive: clean, chunk, and embed only what the cache lacks."""
+"""New documents as they arrive: into the embedding cache, or into a whole index."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from evalspark.functions.text import clean_text
 from evalspark.operators.cache import cache_misses, keyed
 from evalspark.operators.chunking import chunk_recursive
 from evalspark.settings import Settings
-from evalspark.sources.tables import append_cache, load_cache
+from evalspark.sources.tables import append_cache, load_cache, update_index
 
 
 def embed_stream(
@@ -44,3 +44,25 @@ def embed_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def index_stream(
+    docs: DataFrame, runs: Sequence[tuple[str, Settings]], root: str, checkpoint: str
+) -> StreamingQuery:
+    """Put what has arrived in ``docs(doc_id, text, filename, ...)`` into the index of ``root`` and stop.
+
+    A document that comes again in a later batch takes the place of its earlier form; one whose text
+    is null or blank has no chunks left. Rows of one id in one batch are all kept. Each batch is one index, named by the stream and its number, so a
+    batch that is run again after a failure finds what it made. ``newest_index`` reads the last.
+    """
+    cleaned = docs.withColumn("text", clean_text(F.col("text")))
+
+    def add(batch: DataFrame, number: int) -> None:
+        update_index(batch, runs, root, f"{checkpoint} {number}")
+
+    return (
+        cleaned.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
