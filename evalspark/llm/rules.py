@@ -162,8 +162,9 @@ class Asked(dict):
 def shared_measures(rules: Mapping[str, Rule]) -> list[str]:
     """Measures that more than one rule asks for."""
     uses: Counter[str] = Counter()
+    found = measures(F.col("text"))
     for rule in rules.values():
-        asked = Asked(measures(F.col("text")))
+        asked = Asked(found)
         rule(asked)
         uses.update(asked.names)
     return sorted(name for name, n in uses.items() if n > 1)
@@ -185,26 +186,27 @@ def rule_order(
 ) -> list[tuple[str, float, float]]:
     """``(rule, rejected part, seconds)`` of a sample of about ``sample_rows``, best first.
 
-    Each job runs RUNS times after one that warms it up, and its fastest run counts. Costs below
-    what runs of the job without a rule differ by cannot be told apart and count as that.
+    A job is one task over the sample. It runs RUNS times, the first of which compiles it, and its
+    fastest run counts. Costs below what later runs of the job without a rule differ by cannot be
+    told apart and count as that.
     """
     total = max(1, docs.count())
     sample = stage(docs.select("text").sample(min(1.0, sample_rows / total), seed=7), docs.sparkSession)
     rows = max(1, sample.count())
-    table, given = prepared(sample, rules)
+    table, given = prepared(sample.coalesce(1), rules)
 
-    def timed(condition: Column) -> tuple[int, list[float]]:
+    def timed(condition: Column, runs: int = RUNS) -> tuple[int, list[float]]:
         # The shared part is asked for in every job, so that it falls out of the difference.
         shared = [F.max(F.hash("shared"))] if "shared" in table.columns else []
         job = table.agg(F.count_if(condition), *shared)
         seconds, rejected = [], 0
-        for _ in range(RUNS + 1):
+        for _ in range(runs):
             start = time.perf_counter()
             rejected = job.first()[0]
             seconds.append(time.perf_counter() - start)
         return rejected, seconds[1:]
 
-    _, empty = timed(F.col("row.text").isNull())
+    _, empty = timed(F.col("row.text").isNull(), RUNS + 1)
     least = max(max(empty) - min(empty), 0.001)
     found = []
     for name, rule in rules.items():
