@@ -262,6 +262,13 @@ def q_topk_cells(spark, folder):
     return found.drop("cell")
 
 
+def q_topk_approximate(spark, folder):
+    """Neighbours of every 50th vector among all; approximate, so without a SQL twin."""
+    units = unit_table(spark, folder).drop("label")
+    queries = units.filter("vec_id % 50 = 0").select("cell", F.col("vec_id").alias("qid"), "vector")
+    return densesearch.topk_dense(units, queries, 10, backend="inverted", exclude_self=True).drop("cell")
+
+
 def q_topk_with_text(spark, folder):
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("vec_id"), tx.file_name(path_column()).alias("filename"), "text"

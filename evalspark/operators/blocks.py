@@ -216,12 +216,14 @@ def one(column: pa.ChunkedArray) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def grid(corpus, queries, ids, k, exclude_self) -> DataFrame:
+def grid(corpus, queries, ids, k, exclude_self, block=None) -> DataFrame:
     """Blocks of a cell's rows meet blocks of its queries, each pair in one group.
 
     A hot cell is cut into as many blocks as its size asks for, so every group is
-    of bounded size.
+    of bounded size. ``block(qids, vectors, cell)`` makes what scores the rows of a cell;
+    rows may then hold something else than a vector.
     """
+    block = block or (lambda qids, vectors, cell: query_block(qids, vectors))
     sizes = (
         corpus.groupBy("cell")
         .agg(F.ceil(F.count("*") / ROWS_PER_BLOCK).cast("int").alias("row_blocks"))
@@ -249,7 +251,8 @@ def grid(corpus, queries, ids, k, exclude_self) -> DataFrame:
     def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
         types = {f.name: f.type for f in rows.schema}
         if len(rows) and len(asked):
-            best = Best(query_block(asked["qid"].to_numpy(), one(asked["vector"])), k, len(ids), exclude_self)
+            asking = block(asked["qid"].to_numpy(), one(asked["vector"]), rows["cell"][0].as_py())
+            best = Best(asking, k, len(ids), exclude_self)
             best.add(one(rows["vector"]), [rows[name].to_numpy().astype(np.int64) for name in ids])
             qid, *keys, sim = best.columns()
             cells = pa.array([rows["cell"][0].as_py()] * len(qid), types["cell"])

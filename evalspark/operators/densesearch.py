@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.vectors import as_double, normalize
-from evalspark.operators import blocks
+from evalspark.operators import blocks, inverted
 from evalspark.operators.blocks import matrix
 from evalspark.session import stage
 
-BACKENDS = ("scan", "cells")
+BACKENDS = ("scan", "cells", "inverted")
 # Cells of the pivot index; pivots and their statistics are the only broadcast.
 PIVOTS = 64
 # Distances are compared with this room for rounding.
@@ -36,15 +36,18 @@ def topk_dense(
     backend: str = "scan",
     exclude_self: bool = False,
 ) -> DataFrame:
-    """``cell, qid, rank, <key>, sim``; both backends give the exact result.
+    """``cell, qid, rank, <key>, sim``; ``scan`` and ``cells`` give the exact result.
 
     ``scan`` scores every vector for every query. ``cells`` skips vectors that
-    cannot be near, which pays with many queries on clustered vectors.
+    cannot be near, which pays with many queries on clustered vectors. ``inverted`` is
+    approximate (see ``inverted``); its scores are exact.
     """
     if backend not in BACKENDS:
         raise ValueError(f"Unknown vector store backend: '{backend}'. Expected one of {BACKENDS}.")
     if backend == "scan":
         return blocks.topk(corpus, queries, [key], k, exclude_self)
+    if backend == "inverted":
+        return inverted.search(inverted.build(corpus, key), queries, k, exclude_self)
     return _topk_cells(corpus, queries, k, key, exclude_self)
 
 
