@@ -187,8 +187,10 @@ def q_chunk_windows(spark, folder):
 
 
 def q_chunk_index(spark, folder):
-    chunks = windows(spark, folder).select("experiment", "doc_id", "pos")
-    return chunking.with_chunk_index(chunks, chunking.chunk_offsets(chunks)).select("doc_id", "pos", "chunk_index")
+    """Numbers need no text: how many windows a document has follows from its length."""
+    counts = stage(chunking.window_counts(documents(spark, folder)).filter("n > 0"), spark)
+    positions = counts.select("experiment", "doc_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    return chunking.with_chunk_index(positions, chunking.offsets_of_counts(counts)).select("doc_id", "pos", "chunk_index")
 
 
 def q_chunk_overlap_check(spark, folder):
@@ -483,8 +485,8 @@ def q_sweep_settings(spark, folder):
     sizes = [
         (v["experiment"], v["overrides"]["chunking.chunk_size"], v["overrides"]["chunking.chunk_overlap"]) for v in variants
     ]
-    counts = chunking.chunk_windows(documents(spark, folder), sizes).groupBy("experiment")
-    return settings.join(counts.agg(F.count("*").alias("n_chunks")), "experiment")
+    counts = chunking.window_counts(documents(spark, folder), sizes).groupBy("experiment")
+    return settings.join(counts.agg(F.sum("n").alias("n_chunks")), "experiment")
 
 
 def q_k_sweep(spark, folder):
@@ -521,17 +523,27 @@ def q_metric_matrix(spark, folder):
 
 
 def q_stage_counts(spark, folder):
-    texts, known = keyed_documents(spark, folder), cached_texts(spark, folder).select(*cache.KEY)
-    stages = {
-        "documents": table(spark, folder, "documents"),
-        "chunks": windows(spark, folder),
-        "cache_hits": cache.cache_hits(texts, known),
-        "cache_misses": cache.cache_misses(texts, known),
+    """All counts of a run from one scan of the documents.
+
+    Sums of a query, not ``observe()``: what a task of a shuffle stage observed counts twice if the task
+    runs again after a lost executor.
+    """
+    base = SETTINGS.chunk_size, SETTINGS.chunk_overlap
+    texts = keyed_documents(spark, folder).withColumn(
+        "n_chunks", chunking.window_count(tx.clean_text(F.col("text")), *base)
+    )
+    by_key = texts.groupBy(*cache.KEY).agg(F.count("*").alias("n"), F.sum("n_chunks").alias("n_chunks"))
+    known = cached_texts(spark, folder).select(*cache.KEY, F.lit(True).alias("known"))
+    counts = {
+        "documents": F.sum("n"),
+        "chunks": F.sum("n_chunks"),
+        "cache_hits": F.sum(F.when(F.col("known"), F.col("n"))),
+        "cache_misses": F.count_if(F.col("known").isNull()),
     }
-    return functools.reduce(
-        DataFrame.unionByName,
-        [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in stages.items()],
+    totals = by_key.join(known, cache.KEY, "left").agg(
+        *[F.coalesce(total, F.lit(0)).cast("bigint").alias(name) for name, total in counts.items()]
     )
+    return totals.unpivot([], list(counts), "stage", "n")
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -37,6 +37,30 @@ def window_texts(text: Column, size: int, overlap: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
+def window_count(text: Column, size: int, overlap: int) -> Column:
+    """How many windows ``window_texts`` cuts, from the length alone: a further window starts
+    while more than the overlap is left."""
+    step = size - overlap
+    if step < 1:
+        raise ValueError(f"overlap {overlap} must be smaller than size {size}")
+    length = F.coalesce(F.char_length(text), F.lit(0))
+    more = F.greatest(F.lit(1), F.ceil((length - overlap) / step))
+    return F.when(length == 0, 0).otherwise(more).cast("int")
+
+
+def window_counts(
+    docs: DataFrame, sizes: Sequence[tuple[str, int, int]] = ((BASE, 512, 64),), text: str = "text"
+) -> DataFrame:
+    """``experiment, doc_id, n`` for each ``(experiment, size, overlap)``, without cutting a window."""
+    counts = F.array(
+        *[
+            F.struct(F.lit(name).alias("experiment"), window_count(F.col("text"), size, overlap).alias("n"))
+            for name, size, overlap in sizes
+        ]
+    )
+    return docs.select("doc_id", F.col(text).alias("text")).select("doc_id", F.inline(counts)).select("experiment", "doc_id", "n")
+
+
 def chunk_windows(
     docs: DataFrame,
     sizes: Sequence[tuple[str, int, int]] = ((BASE, 512, 64),),
@@ -154,9 +178,12 @@ def chunk_offsets(chunks: DataFrame, order: str = "doc_id") -> DataFrame:
     the few buckets give each one its start. No task sees all documents, and any
     choice of cuts gives the same result.
     """
-    counts = stage(
-        chunks.groupBy("experiment", order).agg(F.count("*").alias("n")), chunks.sparkSession
-    )
+    return offsets_of_counts(chunks.groupBy("experiment", order).agg(F.count("*").alias("n")), order)
+
+
+def offsets_of_counts(counts: DataFrame, order: str = "doc_id") -> DataFrame:
+    """The same from ``experiment, <order>, n``."""
+    counts = stage(counts, counts.sparkSession)
     # At most BUCKETS keys in one row.
     cuts = (
         counts.groupBy(F.pmod(F.xxhash64(order), F.lit(BUCKETS)).alias("h"))
@@ -196,21 +223,20 @@ def with_chunk_index(chunks: DataFrame, offsets: DataFrame) -> DataFrame:
 def overlap_with_next(chunks: DataFrame, overlap: int) -> DataFrame:
     """Characters that each chunk shares with the next one of its document.
 
-    Neighbours meet in an equi join on document and position, so a document
-    with very many chunks is spread over tasks, as a window over it would not be.
+    Each chunk gives its last characters to its own position and its first ones to the
+    position before; neighbours meet where both fall together. Texts are cut once, only their ends
+    are shuffled, and a document with very many chunks is spread over tasks, as a window over
+    it would not be.
     """
-    following = chunks.select(
-        "experiment",
-        "doc_id",
-        (F.col("pos") - 1).alias("pos"),
-        F.col("chunk_text").alias("next_text"),
+    own = F.struct("pos", F.right("chunk_text", F.lit(overlap)).alias("tail"), F.lit(None).cast("string").alias("head"))
+    before = F.struct(
+        (F.col("pos") - 1).alias("pos"), F.lit(None).cast("string").alias("tail"), F.left("chunk_text", F.lit(overlap)).alias("head")
     )
-    ends = chunks.join(following, ["experiment", "doc_id", "pos"]).select(
-        "experiment",
-        "doc_id",
-        "pos",
-        F.right("chunk_text", F.lit(overlap)).alias("tail"),
-        F.left("next_text", F.lit(overlap)).alias("head"),
+    ends = (
+        chunks.select("experiment", "doc_id", F.inline(F.array(own, before)))
+        .groupBy("experiment", "doc_id", "pos")
+        .agg(F.max("tail").alias("tail"), F.max("head").alias("head"))
+        .filter(F.col("tail").isNotNull() & F.col("head").isNotNull())
     )
     # Most neighbours share all of it; only the others are tried length by length.
     lengths = F.filter(
