@@ -226,7 +226,7 @@ def aggregate_scores(wide: DataFrame, keys: Sequence[str] = ("experiment",)) ->
 
 def metric_statistics(aggregates: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataFrame:
     """Aggregates as rows: ``*keys, metric, mean, std, min, max``; no row without a mean column."""
-    present = [m for m in METRICS if f"{m}_mean" in aggregates.columns]
+    present = [m for m in REGISTRY if f"{m}_mean" in aggregates.columns]
     rows = F.array(
         *[
             F.struct(

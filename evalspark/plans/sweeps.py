@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import json
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,9 +19,11 @@ from evalspark.operators.answering import QUESTION
 from evalspark.operators.embedding import embed_with
 from evalspark.plans.rag import answer_all, retrieve, score, with_text
 from evalspark.session import stage
-from evalspark.settings import CHUNK_SIZES, K_VALUES, METRICS, Settings, sweep_overlap
-from evalspark.sources.tables import load_or_build_index, through_cache
+from evalspark.settings import CHUNK_SIZES, K_VALUES, Settings, sweep_overlap
+from evalspark.sources.tables import exists, load_or_build_index, text_mark, through_cache
 
+SCORES = (*QUESTION, "metric", "score")
+LEDGER = "run string, experiment string, finished double"
 SWEPT = ("chunk_size", "chunk_overlap", "k", "search_type", "fetch_k", "lambda_mult")
 
 
@@ -135,18 +141,69 @@ def embedding_scores(
     judge: str | None = None,
 ) -> DataFrame:
     """Scores of every embedding model; each model has an index of its own."""
-    scores = []
-    for v in embedding_variants(models):
-        settings = base.variant(v["overrides"])
-        index = load_or_build_index(docs, [(v["experiment"], settings)], root, corpus=corpus)
-        hits = with_text(retrieve(items, index, settings), index)
-        scores.append(score(answer_all(items, hits, index.experiments, settings), index, settings, judge))
+    scores = [experiment_scores(docs, items, base, v, root, corpus, judge) for v in embedding_variants(models)]
     return reduce(DataFrame.unionByName, scores)
 
 
+def experiment_scores(
+    docs: DataFrame, items: DataFrame, base: Settings, variant: dict, root: str | None = None, corpus: str | None = None,
+    judge: str | None = None,
+) -> DataFrame:
+    """Scores of one experiment, with an index of its own."""
+    settings = base.variant(variant["overrides"])
+    index = load_or_build_index(docs, [(variant["experiment"], settings)], root, corpus=corpus)
+    hits = with_text(retrieve(items, index, settings), index)
+    return score(answer_all(items, hits, index.experiments, settings), index, settings, judge)
+
+
+def resumable_scores(
+    docs: DataFrame, items: DataFrame, base: Settings, variants: Sequence[dict], folder: str, root: str | None = None,
+    corpus: str | None = None, judge: str | None = None,
+) -> DataFrame:
+    """Scores of all ``variants``, one after the other, each kept in ``folder`` as soon as it is made.
+
+    For sweeps whose answers or judges cost money or hours. A sweep that failed, called again with
+    the same folder, starts at the experiment it failed in; an experiment counts as the same if
+    corpus, questions, all its settings and the judge are the same. ``folder/scores`` has a partition
+    per run, replaced as a whole if a run is made again; ``folder/ledger`` names the finished
+    runs, written after their scores, so half a run is never read. Sweeps that share a folder
+    have to follow one another.
+    """
+    spark = docs.sparkSession
+    corpus = corpus or text_mark(docs)
+    asked = text_mark(items)
+    runs = {}
+    for v in variants:
+        named = [corpus, asked, v["experiment"], dataclasses.asdict(base.variant(v["overrides"])), judge]
+        runs[hashlib.sha256(json.dumps(named).encode()).hexdigest()] = v
+    finished = finished_runs(spark, folder)
+    for run, v in runs.items():
+        if run in finished:
+            continue
+        scores = experiment_scores(docs, items, base, v, root, corpus, judge)
+        (
+            scores.select(*SCORES)
+            .withColumn("run", F.lit(run))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("run")
+            .parquet(f"{folder}/scores")
+        )
+        done = spark.createDataFrame([(run, v["experiment"], time.time())], LEDGER)
+        done.coalesce(1).write.mode("append").parquet(f"{folder}/ledger")
+    return spark.read.parquet(f"{folder}/scores").filter(F.col("run").isin(*runs)).select(*SCORES)
+
+
+def finished_runs(spark: SparkSession, folder: str) -> set[str]:
+    """A row per experiment ever finished here, a handful."""
+    if not exists(spark, f"{folder}/ledger"):
+        return set()
+    return {row.run for row in spark.read.schema(LEDGER).parquet(f"{folder}/ledger").select("run").distinct().collect()}
+
+
 def experiment_summary(scores: DataFrame, variants: Sequence[dict]) -> DataFrame:
     """One row per experiment: its parameter and all ``<metric>_<stat>``."""
-    wide = scores.groupBy(*QUESTION).pivot("metric", list(METRICS)).agg(F.first("score"))
+    wide = scores.groupBy(*QUESTION).pivot("metric", list(metrics.REGISTRY)).agg(F.first("score"))
     return labelled(metrics.aggregate_scores(wide), variants)
 
 
@@ -173,6 +230,6 @@ def metric_matrix(summary: DataFrame) -> DataFrame:
     return (
         metrics.metric_statistics(summary, ["experiment"])
         .groupBy("experiment")
-        .pivot("metric", list(METRICS))
+        .pivot("metric", list(metrics.REGISTRY))
         .agg(F.first("mean"))
     )
