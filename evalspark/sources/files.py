@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import text as tx
 from evalspark.operators.chunking import chunk_offsets
+from evalspark.sources.hidden import HiddenFiles
 
 # The suffixes of a corpus.
 SUPPORTED = (".txt", ".md", ".markdown", ".pdf")
@@ -50,10 +51,22 @@ def scan_files(spark: SparkSession, directory: str, suffixes: Sequence[str] = ()
         )
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Data directory not found: {directory}") from error
+            raise FileNotFoundError(f"no such folder of documents: {directory}") from error
         raise
 
 
+def hidden_files(spark: SparkSession, directory: str, suffixes: Sequence[str], limit: int) -> DataFrame:
+    """``path, length, content`` of the files that Spark's listing leaves out; content for ``suffixes`` only."""
+    spark.dataSource.register(HiddenFiles)
+    return (
+        spark.read.format(HiddenFiles.name())
+        .option("path", directory)
+        .option("suffixes", ",".join(suffixes))
+        .option("limit", limit)
+        .load()
+    )
+
+
 def number_by_path(table: DataFrame) -> DataFrame:
     """``doc_id`` from 0 by path, compared part by part."""
     parts = table.select(F.lit("").alias("experiment"), F.split("source", "/").alias("parts"))
@@ -72,13 +85,14 @@ def load_files(
 
     Documents are ``doc_id, text, source, filename, file_type, char_count``, and
     rejects ``path, reason``: unsupported, no loader, too large (for one value), unreadable
-    or empty.
+    or empty. Files with hidden names are treated as all others.
     """
     loaders = loaders or LOADERS
     limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    files = scan_files(spark, directory).withColumn("suffix", tx.suffix(F.col("path")))
+    files = scan_files(spark, directory).unionByName(hidden_files(spark, directory, [], 0)).withColumn("suffix", tx.suffix(F.col("path")))
     # Bytes of other files are never read, so their size does not matter.
-    wanted = scan_files(spark, directory, list(loaders)).withColumn("suffix", tx.suffix(F.col("path")))
+    hidden = hidden_files(spark, directory, list(loaders), limit)
+    wanted = scan_files(spark, directory, list(loaders)).unionByName(hidden).withColumn("suffix", tx.suffix(F.col("path")))
     wanted = wanted.filter(F.col("suffix").isin(*loaders) & (F.col("length") <= limit))
     loaded = F.when(F.lit(False), "")
     for suffix, load in loaders.items():
