@@ -7,9 +7,10 @@ columns its document carried. ``(doc_id, pos)`` orders chunks as the global
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from evalspark.settings import SEPARATORS
 BASE = "base"
 # Buckets of the two-level running sum in chunk_offsets.
 BUCKETS = 256
+# Characters of the slices in which chunks leave a task.
+SLICE = 1_000_000
 
 
 def window_texts(text: Column, size: int, overlap: int) -> Column:
@@ -86,43 +89,81 @@ def chunk_windows(
     )
 
 
-def recursive_texts(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
-    """Chunks of one text: coarse separators first, finer ones where pieces stay too long."""
+def recursive_chunks(text: str, size: int, overlap: int, separators: Sequence[str]) -> Iterator[str]:
+    """Chunks of one text, one by one: coarse separators first, finer ones where pieces stay too long."""
     found = next((i for i, s in enumerate(separators) if s in text), None)
     if found is None:
-        return [text.strip()] if text.strip() else []
-    separator, finer = separators[found], separators[found + 1 :]
-    if separator:
-        first, *rest = text.split(separator)
-        pieces = [first, *(separator + piece for piece in rest)]
-    else:
-        pieces = list(text)
-
-    out: list[str] = []
-    short: list[str] = []
-    for piece in filter(None, pieces):
+        if text.strip():
+            yield text.strip()
+        return
+    finer, packer = separators[found + 1 :], _Packer(size, overlap)
+    for piece in _pieces(text, separators[found]):
         if len(piece) < size:
-            short.append(piece)
+            yield from packer.add(piece)
             continue
-        out += _pack(short, size, overlap)
-        short = []
-        out += recursive_texts(piece, size, overlap, finer) if finer else [piece.strip()]
-    out += _pack(short, size, overlap)
-    return [chunk for chunk in out if chunk]
-
-
-def _pack(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
-    """Join neighbouring pieces into chunks of at most ``size`` that share up to ``overlap``."""
-    start, total = 0, 0
-    for end, piece in enumerate(pieces):
-        if start < end and total + len(piece) > size:
-            yield "".join(pieces[start:end]).strip()
-            while start < end and (total > overlap or total + len(piece) > size):
-                total -= len(pieces[start])
-                start += 1
-        total += len(piece)
-    if start < len(pieces):
-        yield "".join(pieces[start:]).strip()
+        yield from packer.rest()
+        if finer:
+            yield from recursive_chunks(piece, size, overlap, finer)
+        elif piece.strip():
+            yield piece.strip()
+    yield from packer.rest()
+
+
+def recursive_texts(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
+    return list(recursive_chunks(text, size, overlap, separators))
+
+
+def _pieces(text: str, separator: str) -> Iterator[str]:
+    """What lies between separators, each piece with the one before it; characters without one."""
+    if not separator:
+        yield from text
+        return
+    start, found = 0, text.find(separator)
+    while found >= 0:
+        if found > start:
+            yield text[start:found]
+        start, found = found, text.find(separator, found + len(separator))
+    yield text[start:]
+
+
+class _Packer:
+    """Joins neighbouring pieces into chunks of at most ``size`` that share up to ``overlap``."""
+
+    def __init__(self, size: int, overlap: int):
+        self.size, self.overlap = size, overlap
+        self.pieces: deque[str] = deque()
+        self.total = 0
+
+    def add(self, piece: str) -> Iterator[str]:
+        if self.pieces and self.total + len(piece) > self.size:
+            yield from self._joined()
+            while self.pieces and (self.total > self.overlap or self.total + len(piece) > self.size):
+                self.total -= len(self.pieces.popleft())
+        self.pieces.append(piece)
+        self.total += len(piece)
+
+    def rest(self) -> Iterator[str]:
+        yield from self._joined()
+        self.pieces.clear()
+        self.total = 0
+
+    def _joined(self) -> Iterator[str]:
+        chunk = "".join(self.pieces).strip()
+        if chunk:
+            yield chunk
+
+
+def bounded(rows: Iterable, length: Callable) -> Iterator[list]:
+    """Lists of neighbouring rows, each ended once it holds ``SLICE`` characters."""
+    part, total = [], 0
+    for row in rows:
+        part.append(row)
+        total += length(row)
+        if total >= SLICE:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
 
 
 def chunk_recursive(
@@ -134,7 +175,9 @@ def chunk_recursive(
     """Recursive split for every ``(experiment, size, overlap)``.
 
     Only a document's text and its other columns cross into Python, in Arrow
-    batches; each document is split on its own, so no shuffle is needed.
+    batches; each document is split on its own, so no shuffle is needed. Chunks leave in slices of
+    some ``SLICE`` characters, so a task holds its texts and one slice. In SQL:
+    ``functions.tables``.
     """
     for _, size, overlap in sizes:
         if overlap > size:
@@ -142,18 +185,19 @@ def chunk_recursive(
     kept = [f for f in docs.schema.fields if f.name not in (text, "char_count")]
     names = [f.name for f in kept]
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str, int, str]]:
+        for name, size, overlap in sizes:
+            for row, value in enumerate(batch[text]):
+                for pos, chunk in enumerate(recursive_chunks(value.as_py() or "", size, overlap, separators)):
+                    yield row, name, pos, chunk
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, size, overlap in sizes:
-                part = batch[names].copy()
-                part.insert(0, "experiment", name)
-                part["chunk_text"] = [
-                    recursive_texts(t or "", size, overlap, separators) for t in batch[text]
-                ]
-                part["pos"] = [list(range(len(c))) for c in part["chunk_text"]]
-                part = part[part["pos"].map(len) > 0].explode(["pos", "chunk_text"])
-                part["pos"] = part["pos"].astype("int32")
-                yield part[["experiment", *names, "pos", "chunk_text"]]
+            carried = batch.select(names)
+            for part in bounded(rows(batch), lambda row: len(row[3])):
+                row, name, pos, chunk = zip(*part)
+                columns = [pa.array(name), *carried.take(pa.array(row)).columns, pa.array(pos, pa.int32()), pa.array(chunk)]
+                yield pa.RecordBatch.from_arrays(columns, names=["experiment", *names, "pos", "chunk_text"])
 
     schema = T.StructType(
         [
@@ -165,7 +209,7 @@ def chunk_recursive(
     )
     return (
         docs.select(*names, text)
-        .mapInPandas(split, schema)
+        .mapInArrow(split, schema)
         .withColumn("char_count", F.char_length("chunk_text"))
     )
 
