@@ -56,8 +56,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
+    """The first words of an item ask for it, the whole of it is the truth."""
+    question = F.array_join(F.slice(F.split("text", " "), 1, 16), " ")
     return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("text").alias("ground_truth")
+        F.col("item_id").alias("qid"), question.alias("question"), F.col("text").alias("ground_truth")
     )
 
 

@@ -67,7 +67,7 @@ class Settings:
             raise ValueError(f"k must be at least 1, got {self.k}")
         if self.search_type not in SEARCH_TYPES:
             raise ValueError(
-                f"Unknown search_type: '{self.search_type}'. Expected 'similarity' or 'mmr'."
+                f"Unknown search_type: '{self.search_type}'; there are {', '.join(SEARCH_TYPES)}"
             )
         if self.search_backend not in SEARCH_BACKENDS:
             raise ValueError(f"Unknown search backend: '{self.search_backend}'. Known: {SEARCH_BACKENDS}")

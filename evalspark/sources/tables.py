@@ -324,6 +324,11 @@ def load_or_build_index(
     return found or build_index(docs, runs, root, mark, rebuild)
 
 
+# The names of result files, with the time they were made.
+SCORES_FILE = "ragas_{}_{}.csv"
+SUMMARY_FILE = "experiment_{}.csv"
+
+
 def stamp(now: datetime | None = None) -> str:
     return (now or datetime.now()).strftime("%Y%m%d_%H%M%S")
 
@@ -341,7 +346,7 @@ def flat(table: DataFrame) -> DataFrame:
 
 def save_scores(scores: DataFrame, results: str, name: str = "eval", now: datetime | None = None) -> str:
     """Scores per question, one folder per experiment."""
-    path = f"{results}/ragas_{name}_{stamp(now)}.csv"
+    path = f"{results}/{SCORES_FILE.format(name, stamp(now))}"
     flat(scores).write.option("header", True).partitionBy("experiment").csv(path)
     return path
 
@@ -353,6 +358,6 @@ def save_summary(summary: DataFrame, results: str, now: datetime | None = None)
     """
     if summary.isEmpty():
         return None
-    path = f"{results}/experiment_{stamp(now)}.csv"
+    path = f"{results}/{SUMMARY_FILE.format(stamp(now))}"
     summary.coalesce(1).write.option("header", True).csv(path)
     return path

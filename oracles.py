@@ -3,10 +3,28 @@
 from __future__ import annotations
 
 from evalspark.operators import answering
-from evalspark.operators.metrics import ADVICE, PATTERNS, THRESHOLDS
-from evalspark.settings import CHUNK_SIZES, K_VALUES, METRICS, sweep_overlap
 
+# Fixed values, written out here so that a wrong one in the library shows.
+METRICS = ("faithfulness", "answer_relevancy", "context_precision", "context_recall")
+THRESHOLDS = {"faithfulness": 0.8, "answer_relevancy": 0.75, "context_precision": 0.7, "context_recall": 0.8}
+SIZES = (("chunk_size_256", 256, 32), ("chunk_size_512", 512, 64), ("chunk_size_1024", 1024, 128))
+K_VALUES = (2, 4, 6, 8)
+ADVICE = {
+    "faithfulness": "Answers say things that their contexts do not: look at the prompt and the writer first",
+    "answer_relevancy": "Answers drift from the question: ask for shorter ones and pass on fewer contexts",
+    "context_precision": "Contexts without use rank high: try other vectors, shorter chunks or more diversity",
+    "context_recall": "The contexts lack needed facts: retrieve more or longer chunks, or add documents",
+}
+# Metric and whether it is low.
+PATTERNS = (
+    (("faithfulness", True), ("context_precision", False), "Good contexts are found and not used"),
+    (("faithfulness", False), ("context_recall", True), "Answers keep to contexts that hold too little"),
+    (("context_precision", True), ("context_recall", True), "The search finds neither enough nor the right chunks"),
+)
+# White space and the patterns of the text rules below.
 WS = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+# A question is the first words of an item.
+ASKED = "array_to_string(string_split(text, ' ')[1:16], ' ')"
 STATS = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
@@ -69,7 +87,6 @@ MARKED = (
 PATH = "('/' || source || '/' || coalesce(lang, 'xx') || '/Doc.' || doc_id || '.TXT')"
 FILENAME = "('Doc.' || doc_id || '.TXT')"
 BASE = (("base", 512, 64),)
-SIZES = tuple((f"chunk_size_{s}", s, sweep_overlap(s)) for s in CHUNK_SIZES)
 DOCS = f"docs as materialized (select doc_id, {clean('text')} as text, {FILENAME} as filename from documents)"
 
 
@@ -110,7 +127,7 @@ def search(runs=BASE, k: int = 4) -> str:
     return (
         f"{terms(runs)}, raw as (select experiment, doc_id, pos, term, tf * idf as w from tf join terms using (experiment, term)), "
         "norms as (select experiment, doc_id, pos, sqrt(sum(w * w)) as norm from raw group by all), "
-        "items as (select item_id as qid, text as question, text as ground_truth from benchmark), "
+        f"items as (select item_id as qid, {ASKED} as question, text as ground_truth from benchmark), "
         + unit("asked", "(select qid, question as text from items)", "qid")
         + ", scored as (select experiment, qid, doc_id, pos, round(sum(asked.w * raw.w / norm), 6) as sim "
         "from raw join asked using (experiment, term) join norms using (experiment, doc_id, pos) group by all), "
@@ -124,7 +141,7 @@ def search_all(k: int = 4) -> str:
     """Every chunk has a score, 0 where no word is shared; questions also with vowels replaced."""
     found = search().split(", hits as materialized")[0].replace(
         "from benchmark)",
-        "from benchmark union all select item_id + 1000000, translate(text, 'aeiou', 'xqxqx'), text from benchmark)", 1
+        "from benchmark union all select item_id + 1000000, translate(" + ASKED + ", 'aeiou', 'xqxqx'), text from benchmark)", 1
     )
     return (
         f"{found}, every as (select qid, doc_id, pos, coalesce(sim, 0) as sim from items cross join chunks "
