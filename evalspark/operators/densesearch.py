@@ -17,6 +17,8 @@ from evalspark.session import stage
 BACKENDS = ("scan", "cells", "inverted")
 # Cells of the pivot index; pivots and their statistics are the only broadcast.
 PIVOTS = 64
+# Queries times cells that a task holds at once.
+VISITS_PER_STEP = 16_384
 # Distances are compared with this room for rounding.
 SLACK = 1e-5
 
@@ -103,9 +105,7 @@ def _topk_cells(corpus, queries, k, key, exclude_self) -> DataFrame:
     def visits(select):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                query, cell = select(distances(matrix(batch["vector"]), shared.value), batch).nonzero()
-                rows = batch.select(["qid", "vector"]).take(pa.array(query))
-                yield rows.append_column("cell", pa.array(cell))
+                yield from visited(batch, select, shared.value)
 
         return run
 
@@ -134,6 +134,15 @@ def _topk_cells(corpus, queries, k, key, exclude_self) -> DataFrame:
     return _best(found, key, k)
 
 
+def visited(batch: pa.RecordBatch, select, pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row per query and cell that it visits, each with a copy of the vector, so a few at a time."""
+    rows = max(1, VISITS_PER_STEP // len(pivots))
+    for at in range(0, len(batch), rows):
+        part = batch.slice(at, rows)
+        query, cell = select(distances(matrix(part["vector"]), pivots), part).nonzero()
+        yield part.select(["qid", "vector"]).take(pa.array(query)).append_column("cell", pa.array(cell))
+
+
 def _best(found: DataFrame, key: str, k: int) -> DataFrame:
     return blocks.rank(found.withColumn("cell", F.lit("")), [key], k)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark import Settings
 from evalspark.functions import text as tx
-from evalspark.operators import blocks, textsearch
+from evalspark.operators import blocks, densesearch, textsearch
 from evalspark.operators.chunking import BASE
 from evalspark.sources import tables
 
@@ -94,3 +94,15 @@ def test_clean_texts_are_told_apart(spark):
     texts = ["".join(rng.choices(parts, weights=[9, 9, 3, 3, 1, 1, 1, 1, 1, 1], k=rng.randint(0, 9))) for _ in range(2000)]
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
     assert df.filter(~tx.clean_text(F.col("text")).eqNullSafe(tx._cleaned(F.col("text")))).count() == 0
+
+
+def test_visits_leave_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(densesearch, "VISITS_PER_STEP", 20)
+    vectors = np.random.default_rng(2).random((50, 4))
+    pivots, every = vectors[:8], lambda far, part: np.ones(far.shape, bool)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(vectors.tolist())], names=["qid", "vector"])
+    parts = list(densesearch.visited(batch.slice(3), every, pivots))
+    assert max(map(len, parts)) <= 20
+    got = [(q, c) for part in parts for q, c in zip(part["qid"].to_pylist(), part["cell"].to_pylist())]
+    assert got == [(q, c) for q in range(3, 50) for c in range(8)]
+    assert parts[-1]["vector"][-1].as_py() == vectors[49].tolist()
