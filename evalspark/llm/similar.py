@@ -13,6 +13,13 @@ bit; each half is indexed with each bit left out, and equal keys are joined:
    come from; what is left over goes on in the same way.
 2. Each different pair is verified with all shingles of both texts.
 3. Groups are the connected parts of the pairs that hold.
+4. A long run whose texts are not of one group then is paired after all: each two of its texts
+   that are of different groups and within ``WIDE`` bits, in cells of bounded size. These pairs
+   are verified too, so hubs only save work: the groups are those of all pairs of a key.
+
+Each feature (word or pair) that a similar pair does not share lies in one of the shingles that
+it does not share, at most a ninth of all. So it is expected to differ in 40 of 256 bits at
+most, with a deviation of 6; ``WIDE`` is nine of these beyond, and below what other texts have.
 
 Equal texts are one text from the start. It is an index, so some similar pairs can be missed;
 ``tests/llm`` holds the recall against brute force. No two texts are put together without a
@@ -44,6 +51,10 @@ RUN = 16
 # Bits of the whole fingerprint by which members of a family differ from its middle at most.
 FAR = 48
 HUBS = 4
+# Bits of the whole fingerprint by which a similar pair differs at most.
+WIDE = 96
+# Texts of a long run that meet in one cell, on each of its two sides.
+CELL = 4096
 WORDS_KEPT = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -161,8 +172,9 @@ def by_key(rows: DataFrame, scan: Callable, columns: str) -> DataFrame:
     return rows.repartition(count, "key").sortWithinPartitions("key", "id").mapInArrow(scan, columns)
 
 
-def candidates(texts: DataFrame, run: int = RUN) -> DataFrame:
-    """``a < b``: ids of texts that one half of the fingerprint brings together."""
+def candidates(texts: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
+    """``a < b``: ids of texts that one half of the fingerprint brings together, in long runs with hubs
+    only; and ``key, id`` of the long runs, for ``rest``."""
     spark = texts.sparkSession
 
     def variants(batches):
@@ -173,18 +185,23 @@ def candidates(texts: DataFrame, run: int = RUN) -> DataFrame:
                     key = half_variants(np.ascontiguousarray(whole[at : at + 2048, i])) | np.int64(i << 40)
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(ids[at : at + 2048], key.shape[1]))], names=["key", "id"])
 
-    def told(keys, a, b, over: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(b), pa.array(np.full(len(a), over))], names=["key", "a", "b", "over"])
+    names = ["key", "low", "a", "b", "over"]
+
+    def told(keys, low, a, b, over: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, (keys, low, a, b)), pa.array(np.full(len(a), over))], names=names)
 
     def paired(batches):
+        before = None
         for keys, ids in runs(batches, ["key", "id"]):
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             size = np.diff(np.append(first, len(keys)))
-            long = np.repeat(size > run, size)
+            # The last part of a run that comes in parts may be short.
+            long = np.repeat((size > run) | (keys[first] == before), size)
+            before = keys[-1]
             if long.any():
                 # Rows of a run are in order of their ids: its smallest and its largest name it.
                 low, high = np.repeat(ids[first], size), np.repeat(ids[first + size - 1], size)
-                yield told(low[long], ids[long], high[long], True)
+                yield told(keys[long], low[long], ids[long], high[long], True)
                 keys, ids = keys[~long], ids[~long]
             met = []
             for lag in range(1, min(run, size.max(initial=1))):
@@ -193,7 +210,7 @@ def candidates(texts: DataFrame, run: int = RUN) -> DataFrame:
             if met:
                 pair = np.unique(np.concatenate(met), axis=0)
                 pair = pair[pair[:, 0] < pair[:, 1]]
-                yield told(pair[:, 0], pair[:, 0], pair[:, 1], False)
+                yield told(pair[:, 0], pair[:, 0], pair[:, 0], pair[:, 1], False)
 
     def starred(batches):
         for keys, ids, whole in runs(batches, ["key", "id", "print"]):
@@ -203,13 +220,62 @@ def candidates(texts: DataFrame, run: int = RUN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
     keyed = texts.select("id", "print").mapInArrow(variants, "key bigint, id bigint")
-    found = stage(by_key(keyed, paired, "key bigint, a bigint, b bigint, over boolean"), spark)
+    found = stage(by_key(keyed, paired, "key bigint, low bigint, a bigint, b bigint, over boolean"), spark)
     # A text is in many runs of its family; it is taken once by the smallest and once by the
     # largest id that it met there, which all of the family have in common but for few.
-    long = found.filter("over").groupBy(F.col("a").alias("id")).agg(F.min("key").alias("low"), F.max("b").alias("high"))
+    over = found.filter("over")
+    long = over.groupBy(F.col("a").alias("id")).agg(F.min("low").alias("low"), F.max("b").alias("high"))
     families = long.join(texts.select("id", "print"), "id").select(F.explode(F.array("low", "high")).alias("key"), "id", "print")
     stars = by_key(families, starred, "a bigint, b bigint")
-    return found.filter("NOT over").select("a", "b").unionByName(stars).distinct()
+    pairs = found.filter("NOT over").select("a", "b").unionByName(stars).distinct()
+    return pairs, over.select("key", F.col("a").alias("id"))
+
+
+def rest(over: DataFrame, texts: DataFrame, root: DataFrame, cell: int = CELL) -> DataFrame:
+    """``a < b``: ids of the texts of a long run that are in different groups by ``root(node, root)``
+    and not too far apart to be similar.
+
+    Runs of one group drop out as rows ``key, id``. The texts of the others fall into parts of some
+    ``cell`` texts, and each two parts meet in a cell of their own.
+    """
+    member = texts.join(root, F.col("sha") == root["node"], "left").select(
+        "id", "print", F.xxhash64(F.coalesce("root", "sha")).alias("of")
+    )
+    # Rows of parts of a run can repeat.
+    rows = stage(over.distinct().join(member.select("id", "of"), "id"), over.sparkSession)
+    mixed = rows.groupBy("key").agg(F.min("of").alias("one"), F.max("of").alias("two"), F.count("*").alias("n")).filter("one <> two")
+    mixed = mixed.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    met = rows.join(mixed, "key").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first, second = F.least("part", "other"), F.greatest("part", "other")
+    # Within a part all meet (2), of two parts only one the other (0, 1).
+    side = F.when(first == second, 2).otherwise((F.col("part") == second).cast("int")).cast("bigint")
+    cells = met.select(F.xxhash64("key", first, second).alias("key"), "id", "of", side.alias("side")).join(
+        member.select("id", "print").dropDuplicates(["id"]), "id"
+    )
+
+    def across(batches):
+        for keys, *columns in runs(batches, ["key", "id", "of", "side", "print"]):
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            met = [strangers(*c) for c in zip(*(np.split(column, cuts) for column in columns))]
+            pair = np.unique(np.concatenate(met), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+    return by_key(cells.select("key", "id", "of", "side", "print"), across, "a bigint, b bigint").distinct()
+
+
+def strangers(ids: np.ndarray, of: np.ndarray, side: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Pairs of a cell's texts of different groups within ``WIDE`` bits."""
+    groups, of, size = np.unique(of, return_inverse=True, return_counts=True)
+    pairs = [np.zeros((0, 2), np.int64)]
+    # All pairs have one text that is not of the largest group.
+    small = of != np.argmax(size)
+    for i in np.flatnonzero(small):
+        allowed = (of != of[i]) & ((side != side[i]) | (side == 2))
+        j = np.flatnonzero(allowed)
+        j = j[apart(whole[j], whole[i]) <= WIDE]
+        pairs.append(np.stack((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])), 1))
+    return np.unique(np.concatenate(pairs), axis=0)
 
 
 def star(ids: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -259,9 +325,14 @@ def similar_groups(
     docs = docs.filter("doc_id IS NOT NULL")
     made = stage(with_prints(docs, count), spark)
     texts = made.groupBy("sha").agg(F.any_value("id").alias("id"), F.any_value("print").alias("print"))
-    pairs = stage(candidates(stage(texts, spark), run), spark)
-    edges = stage(verified(docs, pairs, shingle, similarity).distinct(), spark)
+    texts = stage(texts, spark)
+    pairs, over = candidates(texts, run)
+    edges = stage(verified(docs, stage(pairs, spark), shingle, similarity).distinct(), spark)
     root = components(edges)
+    more = stage(rest(over, texts, stage(root, spark)), spark)
+    if not more.isEmpty():
+        edges = edges.unionByName(verified(docs, more, shingle, similarity).distinct())
+        root = components(stage(edges, spark))
     placed = made.select("doc_id", "sha").distinct().join(root, F.col("sha") == root["node"], "left").select(
         "doc_id", "sha", F.coalesce("root", "sha").alias("root")
     )

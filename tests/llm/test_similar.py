@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from evalspark.llm import decontaminate, mixing, similar, suffixdedup, urlfilter
@@ -77,6 +78,48 @@ def test_family_is_one_group(spark, run):
     assert len({root[i] for i in range(151, 171)}) == 20
 
 
+@pytest.mark.parametrize("cell", [similar.CELL, 8])
+def test_links_that_no_hub_has(spark, monkeypatch, cell):
+    """Members of a family that are similar to each other and not to its middle, met in long runs only."""
+    monkeypatch.setattr(similar.rest, "__defaults__", (cell,))
+    rng = random.Random(16)
+    base = [rng.choice(VOCABULARY) for _ in range(300)]
+    texts = [" ".join(base), *family(rng, base, 60, 4)]
+    for _ in range(10):
+        far = family(rng, base, 1, 14)[0]
+        texts += [far, *family(rng, far.split(" "), 2, 1)]
+    sets = [shingled(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    apart = [(a, b) for a, b in links if b > 60 and not any(jaccard(sets[x], sets[y]) >= 0.8 for x in range(61) for y in (a, b))]
+    assert len(apart) >= 20
+    root = grouped(spark, texts, run=1)
+    assert sum(root[a] == root[b] for a, b in apart) >= 0.95 * len(apart)
+    parent = list(range(len(texts)))
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for a, b in links:
+        parent[top(a)] = top(b)
+    members = {}
+    for i, r in root.items():
+        members.setdefault(r, set()).add(top(i))
+    assert all(len(tops) == 1 for tops in members.values())
+
+
+def test_last_part_of_a_long_run_is_long(spark, monkeypatch):
+    """Texts of a run that comes in parts meet all others of it, also from a short last part."""
+    monkeypatch.setattr(similar, "CHUNK", 20)
+    keys = [pa.RecordBatch.from_pydict({"key": [7] * 3, "id": list(range(i, i + 3))}) for i in range(0, 33, 3)]
+    parts = list(similar.runs(iter(keys), ["key", "id"]))
+    assert len(parts) > 1 and len(parts[-1][0]) <= similar.RUN
+    prints = [[5, 5, 5, 5]] * 45
+    texts = spark.createDataFrame([(i, bytearray([i]), p) for i, p in enumerate(prints)], "id bigint, sha binary, print array<bigint>")
+    _, over = similar.candidates(texts.coalesce(1))
+    n = over.distinct().groupBy("key").count().agg({"count": "min"}).first()[0]
+    assert n == 45
+
+
 def test_no_document_is_lost(spark):
     rng = random.Random(13)
     a, b = (" ".join(rng.choice(VOCABULARY) for _ in range(60)) for _ in range(2))
