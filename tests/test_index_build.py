@@ -44,6 +44,17 @@ def test_no_text_is_moved_to_count_words(spark, chunks):
     assert "MapInArrow" in plan
 
 
+def test_chunks_stay_where_few_ids_repeat(spark, chunks, tmp_path, monkeypatch):
+    """The repeated ids come as a table of their own size, so no chunk is moved to meet them."""
+    docs = chunks.select("doc_id", F.col("chunk_text").alias("text"), F.lit("f").alias("filename"))
+    given = []
+    real = tables.chunk_words
+    monkeypatch.setattr(tables, "chunk_words", lambda table, repeated: given.append(repeated) or real(table, repeated))
+    tables.load_or_build_index(docs, [(BASE, Settings(splitter="windows"))], str(tmp_path))
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert given[0].columns == ["doc_id"] and "Filter" not in plan
+
+
 def test_common_terms_are_bounded_by_number(spark, chunks):
     terms = textsearch.term_table(chunks).cache()
     counts = textsearch.term_counts(chunks)

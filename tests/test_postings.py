@@ -48,6 +48,13 @@ def test_same_rows_as_the_scan(spark, searched, block, first, k):
     assert index.agg(F.max(F.size("postings"))).first()[0] <= block
 
 
+def test_postings_do_not_move_one_by_one(spark, searched):
+    """Vectors are dealt by block once, and a block lies in one file."""
+    _, _, vectors, offsets, _, _ = searched
+    index = ps.build_postings(vectors, offsets, 8)
+    assert index.select("block", F.spark_partition_id().alias("p")).distinct().groupBy("block").count().agg(F.max("count")).first()[0] == 1
+
+
 def test_few_blocks_are_read(spark, searched):
     _, _, vectors, offsets, _, asked = searched
     index = ps.build_postings(vectors, offsets, 8).cache()
