@@ -14,8 +14,11 @@ bit; each half is indexed with each bit left out, and equal keys are joined:
 2. Each different pair is verified with all shingles of both texts.
 3. Groups are the connected parts of the pairs that hold.
 4. A long run whose texts are not of one group then is paired after all: each two of its texts
-   that are of different groups and within ``WIDE`` bits, in cells of bounded size. These pairs
-   are verified too, so hubs only save work: the groups are those of all pairs of a key.
+   that are of different groups, have a key in common, are within ``WIDE`` bits and can have
+   enough shingles in common, in cells of bounded size. These pairs are verified too, so hubs
+   only save work: the groups are those of all pairs of a key. Texts cannot have more shingles in
+   common than the sum of the smaller counts of each of ``SLOTS`` parts that shingles are dealt to,
+   which leaves few pairs of a family of texts with changes of their own.
 
 Each feature (word or pair) that a similar pair does not share lies in one of the shingles that
 it does not share, at most a ninth of all. So it is expected to differ in 40 of 256 bits at
@@ -36,6 +39,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +59,8 @@ HUBS = 4
 WIDE = 96
 # Texts of a long run that meet in one cell, on each of its two sides.
 CELL = 4096
+# Parts that shingles are dealt to, to tell how many two texts have in common at most.
+SLOTS = 256
 WORDS_KEPT = 200_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,14 +147,15 @@ def with_shingles(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("id", "sha", "text").mapInArrow(batches, "id bigint, sha binary, shingles array<bigint>")
 
 
-def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Whole runs of equal keys (the first column) of sorted rows, many at a time. A run beyond
-    ``CHUNK`` rows comes in parts, each after the first with ``HUBS`` rows of the one before."""
+def runs(batches: Iterator[pa.RecordBatch], names: list[str], chunk: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Whole runs of equal keys (the first column) of sorted rows, many at a time. A run beyond ``chunk``
+    (``CHUNK``) rows comes in parts, each after the first with ``HUBS`` rows of the one before."""
     held: list[np.ndarray] | None = None
+    chunk = chunk or CHUNK
     for batch in batches:
         new = [as_numbers(batch.column(n)) for n in names]
         held = new if held is None else [np.concatenate((h, c)) for h, c in zip(held, new)]
-        if len(held[0]) < CHUNK:
+        if len(held[0]) < chunk:
             continue
         cut = int(np.searchsorted(held[0], held[0][-1]))
         if cut:
@@ -174,7 +181,7 @@ def by_key(rows: DataFrame, scan: Callable, columns: str) -> DataFrame:
 
 def candidates(texts: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     """``a < b``: ids of texts that one half of the fingerprint brings together, in long runs with hubs
-    only; and ``key, id`` of the long runs, for ``rest``."""
+    only; and ``key, id`` of the long runs, for ``rest``, with the smallest id of a run as its key."""
     spark = texts.sparkSession
 
     def variants(batches):
@@ -191,16 +198,16 @@ def candidates(texts: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([*map(pa.array, (keys, low, a, b)), pa.array(np.full(len(a), over))], names=names)
 
     def paired(batches):
-        before = None
+        before, least = None, 0
         for keys, ids in runs(batches, ["key", "id"]):
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             size = np.diff(np.append(first, len(keys)))
             # The last part of a run that comes in parts may be short.
             long = np.repeat((size > run) | (keys[first] == before), size)
-            before = keys[-1]
+            # Rows of a run are in order of their ids: its smallest and its largest name it.
+            low, high = np.repeat(np.where(keys[first] == before, least, ids[first]), size), np.repeat(ids[first + size - 1], size)
+            before, least = keys[-1], low[-1]
             if long.any():
-                # Rows of a run are in order of their ids: its smallest and its largest name it.
-                low, high = np.repeat(ids[first], size), np.repeat(ids[first + size - 1], size)
                 yield told(keys[long], low[long], ids[long], high[long], True)
                 keys, ids = keys[~long], ids[~long]
             met = []
@@ -228,21 +235,39 @@ def candidates(texts: DataFrame, run: int = RUN) -> tuple[DataFrame, DataFrame]:
     families = long.join(texts.select("id", "print"), "id").select(F.explode(F.array("low", "high")).alias("key"), "id", "print")
     stars = by_key(families, starred, "a bigint, b bigint")
     pairs = found.filter("NOT over").select("a", "b").unionByName(stars).distinct()
-    return pairs, over.select("key", F.col("a").alias("id"))
+    return pairs, over.select(F.col("low").alias("key"), F.col("a").alias("id")).distinct()
 
 
-def rest(over: DataFrame, texts: DataFrame, root: DataFrame, cell: int = CELL) -> DataFrame:
+def with_slots(cut: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``sha, slots``: how many shingles of each text fall into each slot."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            column = batch.column("shingles")
+            size = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+            slot = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(slots)
+            at = np.repeat(np.arange(len(size)) * slots, size) + slot.astype(np.int64)
+            flat = pa.array(np.bincount(at, minlength=len(size) * slots).astype(np.int32))
+            counts = pa.FixedSizeListArray.from_arrays(flat, slots).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("sha"), counts], names=["sha", "slots"])
+
+    return cut.select("sha", "shingles").mapInArrow(batches, "sha binary, slots array<int>")
+
+
+def rest(over: DataFrame, texts: DataFrame, root: DataFrame, cut: DataFrame, similarity: float, cell: int = CELL) -> DataFrame:
     """``a < b``: ids of the texts of a long run that are in different groups by ``root(node, root)``
     and not too far apart to be similar.
 
     Runs of one group drop out as rows ``key, id``. The texts of the others fall into parts of some
     ``cell`` texts, and each two parts meet in a cell of their own.
     """
+    spark = over.sparkSession
+    long = cut.join(over.select("id").distinct(), "id", "left_semi")
     member = texts.join(root, F.col("sha") == root["node"], "left").select(
-        "id", "print", F.xxhash64(F.coalesce("root", "sha")).alias("of")
+        "id", "sha", "print", F.xxhash64(F.coalesce("root", "sha")).alias("of")
     )
-    # Rows of parts of a run can repeat.
-    rows = stage(over.distinct().join(member.select("id", "of"), "id"), over.sparkSession)
+    member = stage(member.join(with_slots(long), "sha").drop("sha"), spark)
+    rows = stage(over.join(member.select("id", "of"), "id"), spark)
     mixed = rows.groupBy("key").agg(F.min("of").alias("one"), F.max("of").alias("two"), F.count("*").alias("n")).filter("one <> two")
     mixed = mixed.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -251,21 +276,28 @@ def rest(over: DataFrame, texts: DataFrame, root: DataFrame, cell: int = CELL) -
     # Within a part all meet (2), of two parts only one the other (0, 1).
     side = F.when(first == second, 2).otherwise((F.col("part") == second).cast("int")).cast("bigint")
     cells = met.select(F.xxhash64("key", first, second).alias("key"), "id", "of", side.alias("side")).join(
-        member.select("id", "print").dropDuplicates(["id"]), "id"
+        member.select("id", "print", "slots").dropDuplicates(["id"]), "id"
     )
+    names = ["id", "of", "side", "print", "slots"]
+    # Cells hold some 2 * cell rows of a kilobyte and more.
+    chunk = 4 * max(cell, CELL)
 
     def across(batches):
-        for keys, *columns in runs(batches, ["key", "id", "of", "side", "print"]):
+        for keys, *columns in runs(batches, ["key", *names], chunk):
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            met = [strangers(*c) for c in zip(*(np.split(column, cuts) for column in columns))]
+            met = [strangers(*c, similarity) for c in zip(*(np.split(column, cuts) for column in columns))]
             pair = np.unique(np.concatenate(met), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    return by_key(cells.select("key", "id", "of", "side", "print"), across, "a bigint, b bigint").distinct()
+    return by_key(cells.select("key", *names), across, "a bigint, b bigint").distinct()
 
 
-def strangers(ids: np.ndarray, of: np.ndarray, side: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Pairs of a cell's texts of different groups within ``WIDE`` bits."""
+def strangers(
+    ids: np.ndarray, of: np.ndarray, side: np.ndarray, whole: np.ndarray, slots: np.ndarray, similarity: float
+) -> np.ndarray:
+    """Pairs of a cell's texts of different groups that have a key in common, are within ``WIDE`` bits
+    and can be similar by the counts of their shingles."""
+    n = slots.sum(1, dtype=np.int64)
     groups, of, size = np.unique(of, return_inverse=True, return_counts=True)
     pairs = [np.zeros((0, 2), np.int64)]
     # All pairs have one text that is not of the largest group.
@@ -273,7 +305,9 @@ def strangers(ids: np.ndarray, of: np.ndarray, side: np.ndarray, whole: np.ndarr
     for i in np.flatnonzero(small):
         allowed = (of != of[i]) & ((side != side[i]) | (side == 2))
         j = np.flatnonzero(allowed)
-        j = j[apart(whole[j], whole[i]) <= WIDE]
+        j = j[(apart(whole[j], whole[i]) <= WIDE) & meet(whole[j], whole[i])]
+        common = np.minimum(slots[j], slots[i]).sum(1, dtype=np.int64)
+        j = j[common >= similarity * (n[j] + n[i] - common)]
         pairs.append(np.stack((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])), 1))
     return np.unique(np.concatenate(pairs), axis=0)
 
@@ -300,12 +334,21 @@ def apart(whole: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.bitwise_count((whole ^ one).view(np.uint64)).sum(1, dtype=np.int64)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def meet(whole: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Do prints have a key in common: a half in which they differ by at most one bit?"""
+    return (np.bitwise_count((whole ^ one).view(np.uint32)) <= 1).any(1)
+
+
+def cut_texts(docs: DataFrame, pairs: DataFrame, over: DataFrame, shingle: int) -> DataFrame:
+    """``id, sha, shingles`` of each different text that is in a pair or a long run."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(over.select("id")).distinct()
+    # Equal texts have one id, so they are in one place when they have met it.
+    texts = docs.select(*text_id(), "text").join(wanted, "id", "left_semi").dropDuplicates(["id", "sha"])
+    return with_shingles(texts, shingle)
+
+
+def verified(cut: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: the texts (``sha``) of pairs of ids that are similar enough."""
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(*text_id(), "text").join(wanted, "id", "left_semi").dropDuplicates(["sha"])
-    cut = stage(with_shingles(texts, shingle), spark)
     one, two = (cut.select(F.col("id").alias(n), F.col("sha").alias(f"{n}_sha"), F.col("shingles").alias(f"{n}_s")) for n in "ab")
     # A family's hub meets many: the others' shingles move to it, and only the verdict goes on.
     common = F.size(F.array_intersect("a_s", "b_s"))
@@ -327,11 +370,13 @@ def similar_groups(
     texts = made.groupBy("sha").agg(F.any_value("id").alias("id"), F.any_value("print").alias("print"))
     texts = stage(texts, spark)
     pairs, over = candidates(texts, run)
-    edges = stage(verified(docs, stage(pairs, spark), shingle, similarity).distinct(), spark)
+    pairs, over = stage(pairs, spark), stage(over, spark)
+    cut = stage(cut_texts(docs, pairs, over, shingle), spark)
+    edges = stage(verified(cut, pairs, similarity).distinct(), spark)
     root = components(edges)
-    more = stage(rest(over, texts, stage(root, spark)), spark)
+    more = stage(rest(over, texts, stage(root, spark), cut, similarity), spark)
     if not more.isEmpty():
-        edges = edges.unionByName(verified(docs, more, shingle, similarity).distinct())
+        edges = edges.unionByName(verified(cut, more, similarity).distinct())
         root = components(stage(edges, spark))
     placed = made.select("doc_id", "sha").distinct().join(root, F.col("sha") == root["node"], "left").select(
         "doc_id", "sha", F.coalesce("root", "sha").alias("root")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -107,6 +108,36 @@ def test_links_that_no_hub_has(spark, monkeypatch, cell):
     assert all(len(tops) == 1 for tops in members.values())
 
 
+def test_few_pairs_of_a_family_of_strangers(spark, monkeypatch):
+    """Of a long run whose texts are mostly similar to no other, few more pairs are verified than hold."""
+    rng = random.Random(17)
+    base = [rng.choice(VOCABULARY) for _ in range(300)]
+    texts = family(rng, base, 120, 14)
+    texts += [family(rng, t.split(" "), 1, 1)[0] for t in texts[:10]]
+    sets = [shingled(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    assert 10 <= len(links) < 20
+    counts, verified = [], similar.verified
+    monkeypatch.setattr(similar, "verified", lambda *args: counts.append(args[1].count()) or verified(*args))
+    root = grouped(spark, texts, run=1)
+    assert counts[1:] == [] or counts[1] < len(texts)
+    assert all(root[a] == root[b] for a, b in links)
+    assert len(set(root.values())) == len(texts) - len(links)
+
+
+def test_slots_bound_what_is_in_common():
+    """No pair that is similar and has a key in common is kept back."""
+    rng = np.random.default_rng(18)
+    base = rng.integers(0, 1 << 62, 400)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(330, 400)], rng.integers(0, 1 << 62, rng.integers(0, 40))))) for _ in range(60)]
+    slots = np.array([np.bincount(x % similar.SLOTS, minlength=similar.SLOTS) for x in sets], np.int32)
+    whole = np.zeros((60, 4), np.int64)
+    ids = np.arange(60)
+    found = {tuple(p) for p in similar.strangers(ids, ids, np.full(60, 2), whole, slots, 0.8).tolist()}
+    held = {(a, b) for b in range(60) for a in range(b) if jaccard(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8}
+    assert 0 < len(held) < 60 * 59 // 2 and held <= found
+
+
 def test_last_part_of_a_long_run_is_long(spark, monkeypatch):
     """Texts of a run that comes in parts meet all others of it, also from a short last part."""
     monkeypatch.setattr(similar, "CHUNK", 20)
