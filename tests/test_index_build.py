@@ -117,3 +117,66 @@ def test_visits_leave_in_bounded_slices(monkeypatch):
     got = [(q, c) for part in parts for q, c in zip(part["qid"].to_pylist(), part["cell"].to_pylist())]
     assert got == [(q, c) for q in range(3, 50) for c in range(8)]
     assert parts[-1]["vector"][-1].as_py() == vectors[49].tolist()
+
+
+def test_words_are_split_as_spark_splits_them(spark):
+    from evalspark.functions import packed
+
+    rng = random.Random(11)
+    parts = ["a", "É", "日本", "🙂", " ", "\t", "\x0b", "\x0c", "\r", "\n", "\x1c", "\x85", "\u00a0", ".", ",", ";", ":", "!", "?", "-", ""]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 15))) for _ in range(500)] + [None, "", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    want = {r.i: r.words or [] for r in df.select("i", tx.tokens(F.col("text")).alias("words")).collect()}
+    lower = {r.i: r.text for r in df.select("i", F.lower("text").alias("text")).collect()}
+    given = pa.array(["x."] + [lower[i] for i in range(len(texts))] + ["y"])
+    for part, first in ((given.slice(1, len(texts)), 0), (given.slice(101, 50), 100)):
+        length, words = packed.split_words(part, packed.BREAKS)
+        at = np.concatenate(([0], np.cumsum(length)))
+        words = words.to_pylist()
+        assert [words[a:b] for a, b in zip(at[:-1], at[1:])] == [want[first + i] for i in range(len(part))]
+
+
+def test_words_of_an_index_are_packed(spark, chunks, tmp_path):
+    """One text per chunk instead of a nested value per word, and no second copy as vectors."""
+    docs = chunks.select("doc_id", F.col("chunk_text").alias("text"), F.lit("f").alias("filename"))
+    index = tables.load_or_build_index(docs, [(BASE, Settings(splitter="windows"))], str(tmp_path))
+    assert {"terms", "counts", "length"} <= set(index.vectors.columns)
+    assert dict(index.vectors.dtypes)["terms"] == "string"
+
+
+def test_rare_words_weigh_as_common_ones(spark, chunks):
+    """Lengths with all terms sent around, with some and with none."""
+    terms = textsearch.term_table(chunks).cache()
+    words = textsearch.chunk_words(chunks)
+    n = terms.count()
+    plain = lambda df: sorted(repr((*r[:3], round(r.length, 9))) for r in df.collect())
+    want = plain(textsearch.chunk_lengths(words, terms, n))
+    assert len(want) == words.count()
+    for most in (0, 3, n - 1):
+        assert plain(textsearch.chunk_lengths(words, terms, n, most)) == want
+
+
+def test_terms_stay_where_questions_are_few(spark, chunks, monkeypatch):
+    terms = textsearch.term_table(chunks).cache()
+    asked = spark.createDataFrame([(1, "Zoë a b ß"), (2, "nowhere")], "qid bigint, question string")
+    few = textsearch.text_vectors(asked, ["qid"], "question", terms)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(textsearch, "BROADCAST_WORDS", 1)
+    many = textsearch.text_vectors(asked, ["qid"], "question", terms)
+    plain = lambda df: [(r.qid, sorted((t, round(w, 9)) for t, w in r.vector)) for r in df.collect()]
+    assert plain(few) == plain(many) != []
+
+
+def test_best_rows_are_those_of_whole_steps(monkeypatch):
+    """Once each query has k rows, only scores that reach its k-th are looked at; ties stay exact."""
+    rng = np.random.default_rng(4)
+    vectors = pa.array(rng.integers(0, 3, (300, 4)).astype(float).tolist())
+    asked = pa.array(rng.integers(0, 3, (20, 4)).astype(float).tolist())
+    found = []
+    for step in (20 * 300, 20 * 7):
+        monkeypatch.setattr(blocks, "SCORES_PER_STEP", step)
+        for own in (False, True):
+            best = blocks.Best(blocks.query_block(np.arange(20), asked), 5, 1, own)
+            best.add(vectors, [np.arange(300)])
+            found.append(sorted(zip(*(c.tolist() for c in best.columns()))))
+    assert found[0] == found[2] and found[1] == found[3] and len(found[0]) == 100
