@@ -114,3 +114,31 @@ def test_backend_of_the_settings(spark, corpus, questions, tmp_path):
         rag.retrieve(questions, scan.index, other.settings)
     with pytest.raises(ValueError, match="backend"):
         Settings(search_backend="nearby")
+
+
+def test_whole_postings_do_not_move_to_questions(spark, searched):
+    """What is shuffled is a row per question and block, and rows of the result."""
+    _, _, vectors, offsets, _, asked = searched
+    index = ps.build_postings(vectors, offsets, 8).cache()
+    found = ps.topk_postings(asked, index, 3)
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    exchanges = [part for part in plan.split("\n\n") if ") Exchange" in part]
+    assert exchanges and not any("postings" in part for part in exchanges)
+
+
+def test_a_block_that_two_tasks_read_is_summed(spark, searched):
+    """Rows of a block in two partitions, as a split of a file between them leaves them."""
+    _, _, vectors, offsets, _, asked = searched
+    index = ps.build_postings(vectors, offsets, 64)
+    rows_of = index.orderBy("experiment", "block", "term").collect()
+    cut = spark.createDataFrame(spark.sparkContext.parallelize(rows_of, 7), index.schema).cache()
+    lying = cut.select("block", F.spark_partition_id().alias("at")).distinct().collect()
+    assert len(lying) > len({r.block for r in lying})
+    assert rows(ps.topk_postings(asked, cut, 5)) == rows(topk_chunks(asked, vectors, 5))
+
+
+def test_shares_make_up_the_whole(spark, searched):
+    _, _, vectors, offsets, _, _ = searched
+    plain = lambda df: sorted(map(repr, df.collect()))
+    parts = [ps.build_postings(vectors, offsets, 16, share, 3) for share in range(3)]
+    assert plain(parts[0].unionByName(parts[1]).unionByName(parts[2])) == plain(ps.build_postings(vectors, offsets, 16))
